@@ -243,14 +243,14 @@ dyn AS (
   SELECT trajectory_id, n, {_WINDOW_SQL}, {_ERROR_SQL},
     {_since("kind = 'test'")} AS adv_ts_test, {_since("kind = 'edit'")} AS adv_ts_edit,
     {_since("kind = 'search'")} AS adv_ts_search, {_since("is_err")} AS adv_ts_error,
-    {_since("new_read")} AS adv_ts_new_file, n - any_value(last_prog) AS adv_ts_progress,
+    {_since("new_read")} AS adv_ts_new_file, n - max(last_prog) AS adv_ts_progress,
     count(kind_1) - count(DISTINCT concat(kind_1, '>', kind)) FILTER (kind_1 IS NOT NULL) AS adv_seq_bigram_repeat,
     count(cmd_2) - count(DISTINCT concat(cmd_2, '>', cmd_1, '>', cmd)) FILTER (cmd_2 IS NOT NULL) AS adv_seq_trigram_repeat,
     max(streak) AS adv_seq_longest_run,
     coalesce(avg(1 - levenshtein(cmd_1, cmd) / greatest(length(cmd_1), length(cmd))) FILTER (step_no > n - 8), 0.0) AS adv_seq_consec_cmd_sim,
     count(*) FILTER (observation_text <> '' AND step_no > n - 8)
       - count(DISTINCT observation_text) FILTER (observation_text <> '' AND step_no > n - 8) AS adv_seq_obs_repeat_recent,
-    CASE WHEN any_value(err_now) THEN {_since("NOT is_err")} ELSE 0 END AS adv_err_streak,
+    CASE WHEN bool_or(err_now) THEN {_since("NOT is_err")} ELSE 0 END AS adv_err_streak,
     count(*) FILTER (is_err AND step_no > n - 5) AS adv_err_recent_total,
     count(*) FILTER (is_err) / n AS adv_err_rate,
     CAST(count(*) FILTER (kind = 'test') > 0 AS BIGINT) AS adv_flow_has_test,
@@ -265,7 +265,8 @@ dyn AS (
     coalesce(max(t) - max(t) FILTER (report_improves), 0) AS adv_flow_test_no_improve_streak,
     avg(length(thought_text)) FILTER (step_no > n - 8)
       / greatest(1.0, avg(length(action_text)) FILTER (step_no > n - 8)) AS adv_flow_thought_action_ratio
-  FROM mpre JOIN prog USING (trajectory_id, n) GROUP BY trajectory_id, n),
+  FROM (SELECT m.*, last_prog, err_now FROM mpre m JOIN prog p ON p.trajectory_id = m.trajectory_id AND p.n = m.n)
+  GROUP BY trajectory_id, n),
 kind_counts AS (
   SELECT trajectory_id, n, kind, count(*) AS c, count(*) FILTER (step_no > n - 10) AS c10,
     count(*) FILTER (step_no <= greatest(1, n // 2)) AS ch FROM mpre GROUP BY ALL),
@@ -273,13 +274,15 @@ entropies AS (
   SELECT trajectory_id, n, -sum(c / n * log2(c / n)) AS adv_seq_entropy,
     -sum(CASE WHEN c10 > 0 THEN c10 / least(10, n) * log2(c10 / least(10, n)) ELSE 0 END) AS adv_seq_entropy_last10,
     -sum(CASE WHEN ch > 0 THEN ch / greatest(1, n // 2) * log2(ch / greatest(1, n // 2)) ELSE 0 END) AS half_entropy
-  FROM kind_counts GROUP BY ALL),
+  FROM kind_counts GROUP BY trajectory_id, n),
 obs_max AS (
-  SELECT trajectory_id, n, max(c) AS obs_c, max(ce) AS err_c FROM (
-    SELECT trajectory_id, n, split_part(observation_text, chr(10), 1) AS line, observation_text,
-      count(*) AS c, count(*) FILTER (is_err) AS ce0,
-      sum(count(*) FILTER (is_err)) OVER (PARTITION BY trajectory_id, n, split_part(observation_text, chr(10), 1)) AS ce
-    FROM mpre WHERE observation_text <> '' GROUP BY ALL) GROUP BY ALL),
+  SELECT trajectory_id, n, max(c) AS obs_c FROM (
+    SELECT trajectory_id, n, observation_text, count(*) AS c FROM mpre WHERE observation_text <> ''
+    GROUP BY trajectory_id, n, observation_text) GROUP BY trajectory_id, n),
+err_max AS (
+  SELECT trajectory_id, n, max(c) AS err_c FROM (
+    SELECT trajectory_id, n, split_part(observation_text, chr(10), 1) AS line, count(*) AS c FROM mpre
+    WHERE observation_text <> '' AND is_err GROUP BY trajectory_id, n, line) GROUP BY trajectory_id, n),
 dynamics AS (
   SELECT b.*, d.* EXCLUDE (trajectory_id, n), adv_seq_entropy, adv_seq_entropy_last10,
     half_entropy - adv_seq_entropy_last10 AS adv_seq_entropy_drop,
@@ -290,7 +293,8 @@ dynamics AS (
     adv_ts_progress * same_file_edit_count_max AS adv_ix_stall_x_churn
   FROM base_flags b JOIN dyn d ON d.trajectory_id = b.trajectory_id AND d.n = b.prefix_step
     JOIN entropies e ON e.trajectory_id = b.trajectory_id AND e.n = b.prefix_step
-    LEFT JOIN obs_max o ON o.trajectory_id = b.trajectory_id AND o.n = b.prefix_step)"""
+    LEFT JOIN obs_max o ON o.trajectory_id = b.trajectory_id AND o.n = b.prefix_step
+    LEFT JOIN err_max x ON x.trajectory_id = b.trajectory_id AND x.n = b.prefix_step)"""
 _DYNAMICS_DOUBLES = [f"adv_w{w}_{x}" for w in (5, 10) for x in ("edit_frac", "test_frac", "repeat_ratio", "err_frac", "obs_mean")] + [
     "adv_seq_entropy", "adv_seq_entropy_last10", "adv_seq_entropy_drop", "adv_seq_consec_cmd_sim",
     "adv_err_rate", "adv_flow_productive_frac", "adv_flow_env_other_frac", "adv_flow_thought_action_ratio",
