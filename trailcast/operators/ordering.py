@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 GRID = 4096
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate, which is always exactly one row."""
+    return df.crossJoin(F.broadcast(one_row))
+
+
 def unit_bucket(score: Column, n: int = GRID) -> Column:
     """Monotone bucket for scores, dense on [0, 1] and open at both ends."""
     return F.greatest(F.lit(-1), F.least(F.lit(n), F.floor(score * n))).cast("bigint")

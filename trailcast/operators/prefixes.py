@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trailcast.functions import patterns as P
 from trailcast.functions import text as T
+from trailcast.operators.ordering import attach
 
 META = ["prefix_id", "trajectory_id", "instance_id", "model_name",
         "prefix_step", "n_total_steps", "y_fail"]
@@ -92,7 +93,7 @@ def dataset_summary(prefixes: DataFrame) -> DataFrame:
         F.percentile("prefix_step", 0.5, F.col("n")).alias("step_median"),
         F.max("prefix_step").alias("step_max"),
     )
-    return sizes.crossJoin(steps)  # one row each
+    return attach(sizes, steps)
 
 
 def same_prefix_ids(left: DataFrame, right: DataFrame) -> DataFrame:

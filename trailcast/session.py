@@ -10,6 +10,8 @@ _SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Text classification costs much CPU per byte: keep small partitions apart.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     # Lets a join on (run, step) use an existing partitioning by run.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
