@@ -54,7 +54,7 @@ def selective_curve(df: DataFrame) -> DataFrame:
 def random_curve(df: DataFrame, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Mean AUC over random shares of rows: the level selective prediction has to beat."""
     spread = df.select("prefix_id", "risk", "y_fail", F.explode(
-        F.sequence(F.lit(0), F.lit(repeats - 1))).cast("bigint").alias("rep"))
+        F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))).alias("rep"))
     spread = spread.withColumn("_h", T.hash_key(F.lit(seed), F.col("rep"), F.col("prefix_id")))
     ranked = number_rows(spread, [F.col("_h"), F.col("prefix_id")], text_bucket(F.col("_h")), by=["rep"])
     n = df.agg(F.count(F.lit(1)).alias("n_rows"))

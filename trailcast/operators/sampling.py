@@ -70,7 +70,7 @@ def subsets(units: DataFrame, key: str, k: int, repeats: int, seed: int = 0) ->
     applied per task before the shuffle.
     """
     spread = units.select(key).distinct().withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).cast("bigint"))
+        "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint"))))
     order = [T.hash_key(F.lit(seed), F.col("rep"), F.col(key)), F.col(key)]
     return first_per_group(spread, ["rep"], k, order).select("rep", key)
 

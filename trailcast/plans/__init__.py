@@ -1,6 +1,6 @@
 """Registered queries by subject. Importing this package fills the registry."""
 
 from trailcast.plans.registry import ORACLES, QUERIES
-from trailcast.plans import features
+from trailcast.plans import evaluation, features
 
-__all__ = ["ORACLES", "QUERIES", "features"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "features"]
