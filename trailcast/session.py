@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _SQL_SETTINGS = {
@@ -61,3 +62,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="trailcast-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_held: list[DataFrame] = []
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a table that one job reads several times. Lost blocks are recomputed from its lineage."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _held.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Drop what earlier jobs kept."""
+    while _held:
+        _held.pop().unpersist()
