@@ -1,6 +1,6 @@
 """Registered queries by subject. Importing this package fills the registry."""
 
 from trailcast.plans.registry import ORACLES, QUERIES
-from trailcast.plans import evaluation, features, logs
+from trailcast.plans import decisions, evaluation, features, logs, probes
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "features", "logs"]
+__all__ = ["ORACLES", "QUERIES", "decisions", "evaluation", "features", "logs", "probes"]
