@@ -1,6 +1,8 @@
 """Queries that fit models. They have no SQL twin; tests check their invariants.
 
-Iteration counts are kept small here; the library defaults are the full settings.
+Iteration counts are kept small here; the library defaults are the full settings. The
+feature table is checkpointed first: fitting plans many small jobs over it, and each
+would otherwise carry the whole feature plan.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from trailcast.plans.decisions import prefixes, with_recent
 from trailcast.plans.evaluation import RISK, folds_sql
 from trailcast.plans.probes import contrast
 from trailcast.plans.registry import query
-from trailcast.session import reuse
+from trailcast.session import cut_lineage, reuse
 from trailcast.sources import standin as S
 
 FAST = {"iterations": 30, "trees": 10, "rounds": 5}
@@ -34,7 +36,7 @@ FAST = {"iterations": 30, "trees": 10, "rounds": 5}
 
 def folds(spark, sf, table=None):
     """Train, validation and test prefixes with features."""
-    rows = reuse(SP.split(table if table is not None else prefixes(spark, sf)))
+    rows = reuse(SP.split(cut_lineage(table if table is not None else prefixes(spark, sf))))
     return tuple(rows.where(F.col("fold") == f) for f in ("train", "val", "test"))
 
 
@@ -135,7 +137,7 @@ def label_scheme_comparison(spark, sf):
 
 @query("out_of_fold_auc")
 def out_of_fold_auc(spark, sf):
-    return M.roc_auc(MD.out_of_fold(reuse(prefixes(spark, sf)), "logistic_regression", k=3, **FAST))
+    return M.roc_auc(MD.out_of_fold(cut_lineage(prefixes(spark, sf)), "logistic_regression", k=3, **FAST))
 
 
 @query("cross_model_transfer")
@@ -143,7 +145,7 @@ def cross_model_transfer(spark, sf):
     """A model trained on one agent, applied to the others, with and without recalibration."""
     from trailcast.plans.evaluation import _by_user_pairs
 
-    rows = reuse(SP.transfer_roles(_by_user_pairs(prefixes(spark, sf)), "m0"))
+    rows = reuse(SP.transfer_roles(_by_user_pairs(cut_lineage(prefixes(spark, sf))), "m0"))
     model = MD.fit("logistic_regression", rows.where("role = 'train'"), **FAST)
     held, target = reuse(model.score(rows.where("role = 'holdout'"))), reuse(
         SA.half(model.score(rows.where("role = 'target'")), "prefix_id"))
@@ -156,7 +158,7 @@ def cross_model_transfer(spark, sf):
 @query("second_source_transfer")
 def second_source_transfer(spark, sf):
     """Frozen model on another source: naive, on aligned features, as ensemble, few-shot, at the last prefix."""
-    p = reuse(prefixes(spark, sf))
+    p = cut_lineage(prefixes(spark, sf))
     source, target = p.where("model_name = 'm0'"), reuse(p.where("model_name <> 'm0'"))
     columns = [f"f__{c}" for c in FT.FAMILIES["action_counts"] + FT.FAMILIES["loop_behavior"]]
     loops = [f"f__{c}" for c in FT.FAMILIES["loop_behavior"]]
@@ -179,7 +181,7 @@ def second_source_transfer(spark, sf):
 @query("matched_budget_monitorability")
 def matched_budget_monitorability(spark, sf):
     """AUC per agent from equally many instances, averaged over random instance subsets."""
-    p = reuse(prefixes(spark, sf))
+    p = cut_lineage(prefixes(spark, sf))
     out = None
     for agent in [r.model_name for r in p.select("model_name").distinct().orderBy("model_name").collect()]:  # agents are few
         own = p.where(F.col("model_name") == agent)
@@ -219,7 +221,7 @@ def regime_comparison(spark, sf):
 @query("monitor_verdicts")
 def monitor_verdicts(spark, sf):
     """Score, calibrate, abstain, decide: one verdict per test prefix, alarms under cooldown and budget."""
-    rows = reuse(SP.split(with_recent(spark, sf).drop("risk")))
+    rows = reuse(SP.split(cut_lineage(with_recent(spark, sf).drop("risk"))))
     model = MD.fit("logistic_regression", rows.where("fold = 'train'"), **FAST)
     calibrator = fit_calibrator(reuse(model.score(rows.where("fold = 'val'"))))
     scored = reuse(calibrator.apply(model.score(rows.where("fold = 'test'"), "risk")))
