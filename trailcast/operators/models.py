@@ -146,7 +146,10 @@ def fit(name: str, train: DataFrame, columns: list[str] | None = None, label: st
     text = [TEXT_COLUMN] if FACTORIES[name] is text_pipeline else []
     rows = _inputs(rows.select(*columns, *text, "_w", F.col(label).cast("double").alias("_y")), columns)
     rows = reuse(rows)
-    pipeline = FACTORIES[name](columns, rows.count(), **settings).fit(rows)
+    n_rows = rows.count()
+    if n_rows == 0:
+        raise ValueError(f"no rows to train {name} on")
+    pipeline = FACTORIES[name](columns, n_rows, **settings).fit(rows)
     return RiskModel(name, columns, pipeline)
 
 
