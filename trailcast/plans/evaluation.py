@@ -509,20 +509,23 @@ def group_kfold(spark, sf):
 
 
 @query("cross_model_roles", RISK + """,
-src AS (SELECT *, concat('i', CAST(substr(trajectory_id, 2) AS BIGINT) // 2) AS inst FROM risk),
+src AS (SELECT *, CASE WHEN CAST(substr(trajectory_id, 2) AS BIGINT) % 10 < 2 THEN concat('shared', CAST(substr(trajectory_id, 2) AS BIGINT) // 10)
+  ELSE concat('own', CAST(substr(trajectory_id, 2) AS BIGINT)) END AS inst FROM risk),
 target AS (SELECT * FROM src WHERE model_name <> 'm0'),
 pool AS (SELECT * FROM src WHERE model_name = 'm0' AND inst NOT IN (SELECT inst FROM target)),
 g AS (SELECT inst, row_number() OVER (ORDER BY md5(concat('42|', inst)), inst) AS place, count(*) OVER () AS total FROM (SELECT DISTINCT inst FROM pool))
 SELECT prefix_id, 'target' AS role FROM target
 UNION ALL SELECT prefix_id, CASE WHEN place <= floor(total * 0.85) THEN 'train' ELSE 'holdout' END FROM pool JOIN g USING (inst)""")
 def cross_model_roles(spark, sf):
-    return SP.transfer_roles(_by_user_pairs(reuse(S.risk(spark, sf))), "m0").select("prefix_id", "role")
+    return SP.transfer_roles(part_shared_instances(reuse(S.risk(spark, sf))), "m0").select("prefix_id", "role")
 
 
-def _by_user_pairs(r):
-    """Instances of two neighbouring runs, so that some belong to one model only."""
+def part_shared_instances(r):
+    """Instances of which some are shared by runs of two models and most belong to one run."""
     user = F.substring("trajectory_id", 2, 20).cast("bigint")
-    return r.withColumn("instance_id", F.concat(F.lit("i"), F.floor(user / 2).cast("string")))
+    return r.withColumn("instance_id", F.when(
+        user % 10 < 2, F.concat(F.lit("shared"), F.floor(user / 10).cast("string"))).otherwise(
+        F.concat(F.lit("own"), user.cast("string"))))
 
 
 @query("fold_assignment_join", RISK + "," + folds_sql() + """

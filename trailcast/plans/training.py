@@ -25,10 +25,10 @@ from trailcast.operators.calibration import fit_calibrator
 from trailcast.operators.labels import position_weights, shaped_labels
 from trailcast.operators.ordering import attach
 from trailcast.plans.decisions import prefixes, with_recent
-from trailcast.plans.evaluation import RISK, folds_sql
+from trailcast.plans.evaluation import RISK, folds_sql, part_shared_instances
 from trailcast.plans.probes import contrast
 from trailcast.plans.registry import query
-from trailcast.session import cut_lineage, reuse
+from trailcast.session import cut_lineage
 from trailcast.sources import standin as S
 
 FAST = {"iterations": 30, "trees": 10, "rounds": 5}
@@ -36,7 +36,7 @@ FAST = {"iterations": 30, "trees": 10, "rounds": 5}
 
 def folds(spark, sf, table=None):
     """Train, validation and test prefixes with features."""
-    rows = reuse(SP.split(cut_lineage(table if table is not None else prefixes(spark, sf))))
+    rows = cut_lineage(SP.split(cut_lineage(table if table is not None else prefixes(spark, sf))))
     return tuple(rows.where(F.col("fold") == f) for f in ("train", "val", "test"))
 
 
@@ -44,7 +44,7 @@ def folds(spark, sf, table=None):
 SELECT prefix_id, round((SELECT avg(y_fail) FROM risk JOIN folds USING (instance_id) WHERE fold = 'train'), 6) AS risk
 FROM risk JOIN folds USING (instance_id) WHERE fold = 'test'""")
 def majority_baseline(spark, sf):
-    r = reuse(SP.split(S.risk(spark, sf).drop("risk")))
+    r = cut_lineage(SP.split(S.risk(spark, sf).drop("risk")))
     model = MD.fit("baseline_majority", r.where("fold = 'train'"))
     return model.score(r.where("fold = 'test'")).select("prefix_id", F.round("risk", 6).alias("risk"))
 
@@ -55,7 +55,7 @@ def model_comparison_table(spark, sf):
     train, val, test = folds(spark, sf, FT.prefix_table(steps, S.runs(steps), text=True))
     models = {n: MD.fit(n, train, **FAST) for n in MD.ROSTER}
     names = list(models)
-    return RP.comparison_table(reuse(RP.score_models(models, val)), reuse(RP.score_models(models, test)), names, n_boot=20)
+    return RP.comparison_table(cut_lineage(RP.score_models(models, val)), cut_lineage(RP.score_models(models, test)), names, n_boot=20)
 
 
 @query("feature_ablation_table")
@@ -78,7 +78,7 @@ def shuffled_label_auc(spark, sf):
 def calibrated_reliability(spark, sf):
     train, val, test = folds(spark, sf)
     model = MD.fit("logistic_regression", train, **FAST)
-    v, t = reuse(model.score(val)), reuse(model.score(test))
+    v, t = cut_lineage(model.score(val)), cut_lineage(model.score(test))
     out = M.reliability(t).withColumn("method", F.lit("raw"))
     for method in ("platt", "isotonic"):
         c = fit_calibrator(v, method)
@@ -99,7 +99,7 @@ def blended_scores(spark, sf):
     def scored(df):
         for name, short in (("gradient_boosting", "p_boost"), ("random_forest", "p_forest"), ("logistic_regression", "p_linear")):
             df = models[name].score(df, short)
-        return reuse(df.select(*RP.SLIM, "p_boost", "p_forest", "p_linear"))
+        return cut_lineage(df.select(*RP.SLIM, "p_boost", "p_forest", "p_linear"))
 
     models = {n: MD.fit(n, train, **FAST) for n in ("gradient_boosting", "random_forest", "logistic_regression")}
     winner, out = MD.blend(scored(val), scored(test), ["p_boost", "p_forest", "p_linear"])
@@ -122,7 +122,7 @@ def feature_set_comparison(spark, sf):
 def label_scheme_comparison(spark, sf):
     """Training with gated labels, noise weights and position weights, evaluated on terminal labels."""
     train, _, test = folds(spark, sf)
-    shaped = reuse(position_weights(shaped_labels(train)))
+    shaped = cut_lineage(position_weights(shaped_labels(train)))
     columns = [c for c in train.columns if c.startswith("f__")]
     fits = {"terminal": {}, "gated": {"label": "y_gated"}, "noise_weighted": {"weight": "w_noisy"},
             "late_weighted": {"weight": "w_late"}}
@@ -143,23 +143,21 @@ def out_of_fold_auc(spark, sf):
 @query("cross_model_transfer")
 def cross_model_transfer(spark, sf):
     """A model trained on one agent, applied to the others, with and without recalibration."""
-    from trailcast.plans.evaluation import _by_user_pairs
-
-    rows = reuse(SP.transfer_roles(_by_user_pairs(cut_lineage(prefixes(spark, sf))), "m0"))
+    rows = cut_lineage(SP.transfer_roles(part_shared_instances(cut_lineage(prefixes(spark, sf))), "m0"))
     model = MD.fit("logistic_regression", rows.where("role = 'train'"), **FAST)
-    held, target = reuse(model.score(rows.where("role = 'holdout'"))), reuse(
+    held, target = cut_lineage(model.score(rows.where("role = 'holdout'"))), cut_lineage(
         SA.half(model.score(rows.where("role = 'target'")), "prefix_id"))
     naive = fit_calibrator(held).apply(target)
     both = fit_calibrator(target.where("first_half = 1")).apply(naive, out="recalibrated").withColumn(
         "held_out", F.col("first_half") == 0)
-    return SH.transfer_report(held, reuse(both), 0.7)
+    return SH.transfer_report(held, cut_lineage(both), 0.7)
 
 
 @query("second_source_transfer")
 def second_source_transfer(spark, sf):
     """Frozen model on another source: naive, on aligned features, as ensemble, few-shot, at the last prefix."""
     p = cut_lineage(prefixes(spark, sf))
-    source, target = p.where("model_name = 'm0'"), reuse(p.where("model_name <> 'm0'"))
+    source, target = p.where("model_name = 'm0'"), cut_lineage(p.where("model_name <> 'm0'"))
     columns = [f"f__{c}" for c in FT.FAMILIES["action_counts"] + FT.FAMILIES["loop_behavior"]]
     loops = [f"f__{c}" for c in FT.FAMILIES["loop_behavior"]]
     model = MD.fit("logistic_regression", source, columns, **FAST)
@@ -167,11 +165,11 @@ def second_source_transfer(spark, sf):
     aligned = SH.align(source, target.select("prefix_id", *columns), columns)
     naive = loop_model.score(model.score(target, "p_naive"), "p_loop").select(
         "prefix_id", "trajectory_id", "instance_id", "prefix_step", "y_fail", "p_naive", "p_loop")
-    scores = reuse(naive.join(model.score(aligned, "p_aligned").select("prefix_id", "p_aligned"), "prefix_id"))
+    scores = cut_lineage(naive.join(model.score(aligned, "p_aligned").select("prefix_id", "p_aligned"), "prefix_id"))
     ens = SH.rank_ensemble(scores, ["p_aligned", "p_loop"])
     own = MD.out_of_fold(target.select("prefix_id", "instance_id", "y_fail", *columns), "logistic_regression", k=3, out="p_own", **FAST)
     all_scores = ens.join(own.select("prefix_id", "p_own"), "prefix_id")
-    few = reuse(SH.rank_ensemble(all_scores.withColumnRenamed("ensemble", "p_ens"), ["p_ens", "p_own"]))
+    few = cut_lineage(SH.rank_ensemble(all_scores.withColumnRenamed("ensemble", "p_ens"), ["p_ens", "p_own"]))
     out = SH.last_prefix_auc(few, "p_ens").withColumn("variant", F.lit("post_hoc"))
     for column, name in (("p_naive", "naive"), ("p_aligned", "aligned"), ("p_ens", "ensemble"), ("p_own", "in_domain"), ("ensemble", "few_shot")):
         out = out.unionByName(M.roc_auc(few, column).withColumn("variant", F.lit(name)))
@@ -185,7 +183,7 @@ def matched_budget_monitorability(spark, sf):
     out = None
     for agent in [r.model_name for r in p.select("model_name").distinct().orderBy("model_name").collect()]:  # agents are few
         own = p.where(F.col("model_name") == agent)
-        picks = reuse(SA.subsets(own, "instance_id", 40, 2))
+        picks = cut_lineage(SA.subsets(own, "instance_id", 40, 2))
         for rep in range(2):
             rows = own.join(picks.where(F.col("rep") == rep), "instance_id", "left_semi")
             auc = M.roc_auc(MD.out_of_fold(rows, "logistic_regression", k=2, **FAST)).select(
@@ -203,11 +201,11 @@ def regime_comparison(spark, sf):
     full, regime = (MD.fit("logistic_regression", rows, **FAST) for rows in (train, train.where(late)))
 
     def calibrated(model, rows_val, rows, out):
-        return fit_calibrator(reuse(model.score(rows_val))).apply(model.score(rows, "_raw").withColumnRenamed("_raw", "risk"), out=out).drop("risk")
+        return fit_calibrator(cut_lineage(model.score(rows_val))).apply(model.score(rows, "_raw").withColumnRenamed("_raw", "risk"), out=out).drop("risk")
 
     both = calibrated(regime, val.where(late), calibrated(full, val, test.where(late), "p_full"), "p_regime")
-    rows = reuse(both.select(*RP.SLIM, "p_full", "p_regime"))
-    cut = AL.false_alarm_threshold(reuse(fit_calibrator(reuse(full.score(val))).apply(full.score(val)).drop("risk").withColumnRenamed(
+    rows = cut_lineage(both.select(*RP.SLIM, "p_full", "p_regime"))
+    cut = AL.false_alarm_threshold(cut_lineage(fit_calibrator(cut_lineage(full.score(val))).apply(full.score(val)).drop("risk").withColumnRenamed(
         "calibrated", "risk").where(late)), 0.10)
     alerts = AL.first_alert_metrics(rows.withColumnRenamed("p_full", "risk"), cut).drop("threshold")
     out = attach(RS.paired_auc_delta(rows, "p_full", "p_regime", n_boot=20), alerts)
@@ -221,10 +219,10 @@ def regime_comparison(spark, sf):
 @query("monitor_verdicts")
 def monitor_verdicts(spark, sf):
     """Score, calibrate, abstain, decide: one verdict per test prefix, alarms under cooldown and budget."""
-    rows = reuse(SP.split(cut_lineage(with_recent(spark, sf).drop("risk"))))
+    rows = cut_lineage(SP.split(cut_lineage(with_recent(spark, sf).drop("risk"))))
     model = MD.fit("logistic_regression", rows.where("fold = 'train'"), **FAST)
-    calibrator = fit_calibrator(reuse(model.score(rows.where("fold = 'val'"))))
-    scored = reuse(calibrator.apply(model.score(rows.where("fold = 'test'"), "risk")))
+    calibrator = fit_calibrator(cut_lineage(model.score(rows.where("fold = 'val'"))))
+    scored = cut_lineage(calibrator.apply(model.score(rows.where("fold = 'test'"), "risk")))
     return IV.verdicts(scored, threshold=0.6, min_step=5, conf_floor=0.05)
 
 
@@ -237,4 +235,4 @@ def vector_logistic_probe(spark, sf):
 def scored_operating_point(spark, sf):
     train, val, test = folds(spark, sf)
     model = MD.fit("logistic_regression", train, **FAST)
-    return AB.operating_point(reuse(model.score(val)), reuse(model.score(test)))
+    return AB.operating_point(cut_lineage(model.score(val)), cut_lineage(model.score(test)))
