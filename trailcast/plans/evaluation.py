@@ -18,7 +18,7 @@ from trailcast.operators.aggregates import position_profile, position_strata_auc
 from trailcast.functions import text as T
 from trailcast.plans.features import rounded
 from trailcast.plans.registry import query
-from trailcast.session import reuse
+from trailcast.session import cut_lineage
 from trailcast.sources import standin as S
 
 RISK = "WITH " + S.SQL["risk"]
@@ -135,7 +135,7 @@ SELECT model_name, count(*) AS n, round(avg(y_fail), 6) AS pos_rate, round(any_v
   round(any_value(ap), 6) AS auprc, round(avg((risk - y_fail) * (risk - y_fail)), 6) AS brier, round(any_value(ece), 6) AS ece
 FROM risk JOIN auc USING (model_name) JOIN ap USING (model_name) JOIN ece USING (model_name) GROUP BY 1""")
 def metric_bundle_by_model(spark, sf):
-    return rounded(M.metric_bundle(reuse(S.risk(spark, sf)), by=["model_name"]))
+    return rounded(M.metric_bundle(cut_lineage(S.risk(spark, sf)), by=["model_name"]))
 
 
 @query("metric_bundle_single_class", RISK + "," + _ECE.format(by="y_fail, ", rows="risk") + """
@@ -143,7 +143,7 @@ SELECT y_fail, count(*) AS n, CAST(avg(y_fail) AS DOUBLE) AS pos_rate, CAST(NULL
   round(avg((risk - y_fail) * (risk - y_fail)), 6) AS brier, round(any_value(ece), 6) AS ece
 FROM risk JOIN ece USING (y_fail) GROUP BY 1""")
 def metric_bundle_single_class(spark, sf):
-    r = reuse(S.risk(spark, sf)).withColumn("label", F.col("y_fail"))
+    r = cut_lineage(S.risk(spark, sf)).withColumn("label", F.col("y_fail"))
     return rounded(M.metric_bundle(r, label="label", by=["y_fail"]))
 
 
@@ -153,7 +153,7 @@ FROM (SELECT CAST(far AS DOUBLE) AS far, arg_min(c, risk) AS b FROM cum c, (VALU
       WHERE fp <= far * n_neg GROUP BY 1) x,
   LATERAL (SELECT b.risk AS threshold, b.tp AS tp, b.fp AS fp, b.n_pos AS n_pos, b.n_neg AS n_neg)""")
 def precision_at_false_alarm_rate(spark, sf):
-    r = reuse(S.risk(spark, sf))
+    r = cut_lineage(S.risk(spark, sf))
     out = None
     for far in (0.05, 0.10, 0.20):
         one = M.at_false_alarm_rate(r, far)
@@ -167,7 +167,7 @@ p AS (SELECT row_number() OVER (ORDER BY risk) AS point, tp / (tp + fp) AS preci
 SELECT point, round(precision, 6) AS precision, round(recall, 6) AS recall FROM p
 WHERE (point - 1) % greatest(1, (n + 1) // 20) = 0""")
 def pr_curve_points(spark, sf):
-    return rounded(M.pr_curve(reuse(S.risk(spark, sf)), points=20))
+    return rounded(M.pr_curve(cut_lineage(S.risk(spark, sf)), points=20))
 
 
 _CANDIDATES = """
@@ -184,13 +184,13 @@ def candidates_sql(rows: str) -> str:
 
 @query("candidate_thresholds", RISK + "," + candidates_sql("risk") + " SELECT round(t, 6) AS threshold FROM candidates")
 def candidate_thresholds(spark, sf):
-    return rounded(AL.candidate_thresholds(reuse(S.risk(spark, sf))))
+    return rounded(AL.candidate_thresholds(cut_lineage(S.risk(spark, sf))))
 
 
 @query("candidate_threshold_grid", RISK + """
 SELECT DISTINCT round(unnest(quantile_cont(risk, [""" + ", ".join(repr(i / 19) for i in range(20)) + """])), 6) AS threshold FROM risk""")
 def candidate_threshold_grid(spark, sf):
-    return rounded(AL.candidate_thresholds(reuse(S.risk(spark, sf)), n_grid=20))
+    return rounded(AL.candidate_thresholds(cut_lineage(S.risk(spark, sf)), n_grid=20))
 
 
 _THRESHOLDS = """
@@ -209,7 +209,7 @@ thresholds AS (
 @query("threshold_policies", RISK + "," + candidates_sql("risk") + "," + _THRESHOLDS.format(rows="risk") + """
 SELECT policy, round(threshold, 6) AS threshold FROM thresholds""")
 def threshold_policies(spark, sf):
-    return rounded(AL.select_thresholds(reuse(S.risk(spark, sf))))
+    return rounded(AL.select_thresholds(cut_lineage(S.risk(spark, sf))))
 
 
 _TRADEOFF = RISK + "," + folds_sql() + """,
@@ -227,7 +227,7 @@ FROM per GROUP BY ALL"""
 @query("threshold_tradeoff_table", _TRADEOFF)
 def threshold_tradeoff_table(spark, sf):
     """Thresholds chosen on validation, first-alert metrics on test."""
-    r = reuse(SP.split(reuse(S.risk(spark, sf))))
+    r = cut_lineage(SP.split(cut_lineage(S.risk(spark, sf))))
     cuts = AL.select_thresholds(r.where("fold = 'val'"))
     out = AL.first_alert_metrics(r.where("fold = 'test'"), cuts, by=["policy"])
     return rounded(out.select(
@@ -286,7 +286,7 @@ reps AS ({weighted_auc_sql('risk')})
 SELECT round((SELECT auc FROM ({pair_auc('risk')})), 6) AS point, round(quantile_cont(value, 0.025), 6) AS lo,
   round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_boot FROM reps""")
 def bootstrap_auc_interval(spark, sf):
-    return rounded(RS.bootstrap_interval(reuse(S.risk(spark, sf)), n_boot=40))
+    return rounded(RS.bootstrap_interval(cut_lineage(S.risk(spark, sf)), n_boot=40))
 
 
 @query("bootstrap_precision_interval", RISK + "," + draws_sql("risk", "instance_id", 40, 42) + """,
@@ -298,7 +298,7 @@ reps AS (
 SELECT round((SELECT sum(pos * tp / (tp + fp)) / sum(pos) FROM cum), 6) AS point, round(quantile_cont(value, 0.025), 6) AS lo,
   round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_boot FROM reps""")
 def bootstrap_precision_interval(spark, sf):
-    return rounded(RS.bootstrap_interval(reuse(S.risk(spark, sf)), "average_precision", n_boot=40))
+    return rounded(RS.bootstrap_interval(cut_lineage(S.risk(spark, sf)), "average_precision", n_boot=40))
 
 
 _SECOND = "round(risk * 0.7 + (prefix_step % 7) * 0.04, 6)"
@@ -315,7 +315,7 @@ SELECT round(pb, 4) AS auc_base, round(pn, 4) AS auc_new, round(pn - pb, 4) AS d
   CAST(quantile_cont(vn - vb, 0.025) > 0 AS BIGINT) AS significant, CAST(quantile_cont(vn - vb, 0.975) < 0 AS BIGINT) AS significant_loss,
   count(*) AS n_boot FROM d, p GROUP BY pb, pn""")
 def paired_bootstrap_delta(spark, sf):
-    r = reuse(S.risk(spark, sf)).withColumn("risk_new", F.round(F.col("risk") * 0.7 + (F.col("prefix_step") % 7) * 0.04, 6))
+    r = cut_lineage(S.risk(spark, sf)).withColumn("risk_new", F.round(F.col("risk") * 0.7 + (F.col("prefix_step") % 7) * 0.04, 6))
     return RS.paired_auc_delta(r, "risk", "risk_new", n_boot=40)
 
 
@@ -348,7 +348,7 @@ ranked AS (SELECT risk, y_fail, row_number() OVER (ORDER BY abs(risk - 0.5) DESC
 kept AS (SELECT k, risk, y_fail FROM ranked JOIN {_KEPT} ON rn <= k)
 SELECT round(k / (SELECT count(*) FROM risk), 6) AS coverage, round(auc, 6) AS auc, k AS n FROM ({pair_auc('kept', 'k')}) WHERE auc IS NOT NULL""")
 def risk_coverage_selective(spark, sf):
-    return rounded(AB.selective_curve(reuse(S.risk(spark, sf))))
+    return rounded(AB.selective_curve(cut_lineage(S.risk(spark, sf))))
 
 
 @query("risk_coverage_random", RISK + f""",
@@ -358,7 +358,7 @@ kept AS (SELECT k, rep, risk, y_fail, concat(k, '/', rep) AS g FROM ranked JOIN
 SELECT round(k / (SELECT count(*) FROM risk), 6) AS coverage, round(avg(auc), 6) AS auc, k AS n
 FROM (SELECT *, CAST(split_part(g, '/', 1) AS BIGINT) AS k FROM ({pair_auc('kept', 'g')})) WHERE auc IS NOT NULL GROUP BY k""")
 def risk_coverage_random(spark, sf):
-    return rounded(AB.random_curve(reuse(S.risk(spark, sf)), repeats=3))
+    return rounded(AB.random_curve(cut_lineage(S.risk(spark, sf)), repeats=3))
 
 
 @query("risk_coverage_step_gate", RISK + """,
@@ -381,7 +381,7 @@ SELECT CAST(10 AS BIGINT) AS step_floor, round(cf, 6) AS conf_floor, round((SELE
   CASE WHEN (SELECT min(n_pos * n_neg) FROM cum) > 0 THEN round(coalesce(b.tp / (b.tp + b.fp), 0), 6) END AS precision_at_far,
   CASE WHEN (SELECT min(n_pos * n_neg) FROM cum) > 0 THEN round(coalesce(b.tp / b.n_pos, 0), 6) END AS recall_at_far FROM gate, best""")
 def abstention_operating_point(spark, sf):
-    r = reuse(SP.split(reuse(S.risk(spark, sf))))
+    r = cut_lineage(SP.split(cut_lineage(S.risk(spark, sf))))
     return rounded(AB.operating_point(r.where("fold = 'val'"), r.where("fold = 'test'")))
 
 
@@ -485,7 +485,7 @@ g AS (SELECT instance_id, row_number() OVER (ORDER BY md5(concat('42|', instance
 SELECT prefix_id, 'test' AS fold FROM risk WHERE model_name IN (SELECT model_name FROM held)
 UNION ALL SELECT prefix_id, CASE WHEN place <= ceil(total * 0.2) THEN 'val' ELSE 'train' END FROM rest JOIN g USING (instance_id)""")
 def split_by_model(spark, sf):
-    return SP.split(reuse(S.risk(spark, sf)), "model").select("prefix_id", "fold")
+    return SP.split(cut_lineage(S.risk(spark, sf)), "model").select("prefix_id", "fold")
 
 
 @query("split_summary", RISK + "," + folds_sql() + """
@@ -517,7 +517,7 @@ g AS (SELECT inst, row_number() OVER (ORDER BY md5(concat('42|', inst)), inst) A
 SELECT prefix_id, 'target' AS role FROM target
 UNION ALL SELECT prefix_id, CASE WHEN place <= floor(total * 0.85) THEN 'train' ELSE 'holdout' END FROM pool JOIN g USING (inst)""")
 def cross_model_roles(spark, sf):
-    return SP.transfer_roles(part_shared_instances(reuse(S.risk(spark, sf))), "m0").select("prefix_id", "role")
+    return SP.transfer_roles(part_shared_instances(cut_lineage(S.risk(spark, sf))), "m0").select("prefix_id", "role")
 
 
 def part_shared_instances(r):
