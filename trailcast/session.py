@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -49,16 +49,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder the cluster names, which all executors share.
 
-    Only a local session without the setting falls back to a temporary folder of this
-    machine.
+    Only a session without a cluster may leave the setting out; it gets a folder under
+    ``/tmp/checkpoints``.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="trailcast-checkpoint-")
+            folder = f"/tmp/checkpoints/trailcast-{uuid.uuid4().hex}"
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
