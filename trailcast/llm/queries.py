@@ -69,3 +69,29 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
     return pages.select("page_id", "text", F.length("text").cast("long").alias("n_chars"),
                         F.when(F.col("text") != "", F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"))
+
+
+@query("op10_substring_dedup", r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (
+  SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS k
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, j FROM (SELECT rid, unnest(range(i, i + 35)) AS j FROM rep)),
+words AS (SELECT rid, w[j] AS word, j FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+kept AS (
+  SELECT words.rid, string_agg(word, ' ' ORDER BY words.j) AS text, count(*) AS n
+  FROM words ANTI JOIN gone ON words.rid = gone.rid AND words.j = gone.j GROUP BY words.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+""")
+def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    from trailcast.llm import substring_dedup
+
+    docs = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.regexp_replace(F.btrim(F.coalesce("kept_text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")), common.SPACE, " ")
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))

@@ -49,6 +49,7 @@ LABELLED = [
     ("http://health-guide.example.com/vaccines/1", 0), ("https://blog.travel.example.org/fr/2", 0),
     ("http://docs.example.com/en/17", 0), ("https://forum.example.org/topic?id=5", 0),
     ("http://www.maps.example.org/city.html", 0), ("https://m.ndstor.example.com/es/8", 0),
+    ("https://m.ads-track.example.org/en/2", 1), ("http://m.ads-banner.example.com/de/4", 1),
     ("https://blog.tiontion.example.com/fr/60/", 0), ("http://blog.cooking.example.com/en/71", 0),
     ("https://blog.thread.example.org/de/15#top", 0), ("http://blog.astronomy.example.com/", 0),
 ]
