@@ -95,3 +95,12 @@ def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.regexp_replace(F.btrim(F.coalesce("kept_text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")), common.SPACE, " ")
     return docs.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query("op3_order_minhash")
+def order_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and whether the document stays."""
+    from trailcast.llm import order_minhash
+
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "kept")
