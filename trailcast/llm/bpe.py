@@ -26,12 +26,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 #: Characters of a text that are read at once.
 PIECE = 1 << 16
 #: Words whose encoding is remembered in a task; the memory is emptied when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Longer words are not remembered, so its memory is bounded.
 REMEMBERED_CHARS = 32
-#: Tokens decoded at once.
-DECODE_TOKENS = 1 << 14
-
 _NEVER = 1 << 60
 
 
@@ -81,8 +78,19 @@ class Vocabulary:
         for b in self.ids:
             ends.setdefault(b[-1], set()).add(len(b))
         self.ends = {x: sorted(v, reverse=True) for x, v in ends.items()}
+        starts: dict[int, set[int]] = {}
+        for b in self.ids:
+            starts.setdefault(b[0], set()).add(len(b))
+        #: Lengths of at most k bytes of tokens by their first byte, longest first: [byte][k].
+        self.starts_upto = [[tuple(sorted((n for n in starts.get(x, ()) if n <= k), reverse=True))
+                             for k in range(REMEMBERED_CHARS * 4 + 1)] for x in range(256)]
         self.fits = lru_cache(1 << 18)(self._fits)
 
+    def bytes_of_ids(self, ids: Iterable[int]) -> bytes:
+        """Bytes that ids stand for; unknown ids stand for none."""
+        get = self.bytes_of.get
+        return b"".join([get(i, b"") for i in ids])
+
     def _chain(self) -> int:
         """Longest chain of merges, each of higher rank than the next, of which one's right part starts the next's left.
 
@@ -122,7 +130,10 @@ class Vocabulary:
         if token is not None and self._whole(token):
             yield token
             return
-        ids, ends, fits, lengths = self.ids, self.ends, self.fits, self.lengths
+        ids, ends, fits = self.ids, self.ends, self.fits
+        if len(word) <= REMEMBERED_CHARS * 4 and len(word) < self.lookahead:
+            yield from self._short(word)
+            return
         last: list[int] = [-1]  # last[k]: last token of the prefix that ends at base + k
         base, check = 0, self.lookahead
         for at in range(1, len(word) + 1):
@@ -148,6 +159,37 @@ class Vocabulary:
                 check = max(self.lookahead, 2 * (at - base))
         yield from self._back(last, base, base + len(last) - 1)
 
+    def _short(self, word: bytes) -> list[int]:
+        """Tokens of a word that ends within the lookahead, so that none has to leave early.
+
+        The one sequence whose neighbours all fit, searched longest token first.
+        """
+        find, fits, sizes, n = self.ids.get, self.fits, self.starts_upto, len(word)
+        out: list[int] = []
+        ways: list[Iterator[int]] = []
+        failed: set[tuple[int, int]] = set()
+        at, before, way = 0, -1, iter(sizes[word[0]][n])
+        while True:
+            for size in way:
+                token = find(word[at:at + size])
+                if token is not None and (before < 0 or fits(before, token)):
+                    if at + size == n:
+                        out.append(token)
+                        return out
+                    if not failed or (at + size, token) not in failed:
+                        break
+            else:
+                if not out:
+                    raise ValueError("a byte has no token")
+                failed.add((at, before))
+                at -= self.lengths[out.pop()]
+                before, way = out[-1] if out else -1, ways.pop()
+                continue
+            out.append(token)
+            ways.append(way)
+            at, before = at + size, token
+            way = iter(sizes[word[at]][n - at])
+
     def _whole(self, token: int) -> bool:
         """Whether the merge list makes the token of its own bytes: it is a byte or the merge of fitting halves."""
         return True if len(self.left[token]) == 1 else self._made(token)
@@ -211,16 +253,20 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.words = regex.compile(pattern)
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
 
-    def _tokens(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.vocabulary.encode_word(word.encode()))
+    def _tokens(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
+        """Ids of a word, the ids as text, and the bytes the ids stand for."""
+        found = self._entry(tuple(self.vocabulary.encode_word(word.encode())))
         if len(word) <= REMEMBERED_CHARS:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
             self.memory[word] = found
         return found
 
+    def _entry(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, bytes]:
+        return ids, ",".join(map(str, ids)), self.vocabulary.bytes_of_ids(ids)
+
     def _cut(self, text: str) -> tuple[list[str], str]:
         """Words of a piece that no later character can change, and the rest.
 
@@ -233,23 +279,28 @@ class Encoder:
         rest = words[-2] + words[-1]
         return words[:-2], rest
 
-    def _stream(self, pieces: Iterable[str]) -> Iterator[list[int]]:
-        memory, make = self.memory, self._tokens
+    def _stream(self, pieces: Iterable[str]) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        memory, make = self.memory.get, self._tokens
         rest = ""
         for piece in pieces:
             words, rest = self._cut(rest + piece)
-            yield [t for w in words for t in (memory.get(w) or make(w))]
+            yield [memory(w) or make(w) for w in words]
         if rest:
-            yield [t for w in self.words.findall(rest) for t in (memory.get(w) or make(w))]
+            yield [memory(w) or make(w) for w in self.words.findall(rest)]
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Token ids of a text, in lists. Special tokens' strings in it become their ids."""
+        for entries in self.entries(text):
+            yield [t for entry in entries for t in entry[0]]
+
+    def entries(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """Like ``encode``, word by word: ids, ids as text, bytes of the ids."""
         special = self.vocabulary.special_pattern
         at = 0
         if special is not None:
             for match in special.finditer(text):
                 yield from self._stream(_pieces(text, at, match.start()))
-                yield [self.vocabulary.special[match.group()]]
+                yield [self._entry((self.vocabulary.special[match.group()],))]
                 at = match.end()
         yield from self._stream(_pieces(text, at, len(text)))
 
@@ -263,13 +314,16 @@ class Decoder:
     """Ids to text in steps: bytes of an unfinished character wait for the next token."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.bytes_of = vocabulary.bytes_of
+        self.bytes_of_ids = vocabulary.bytes_of_ids
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
         """Text that is complete after these ids. Unknown ids give nothing."""
-        get = self.bytes_of.get
-        return self.state.decode(b"".join([get(i, b"") for i in ids]))
+        return self.state.decode(self.bytes_of_ids(ids))
+
+    def feed_bytes(self, raw: bytes) -> str:
+        """The same from the bytes of ids."""
+        return self.state.decode(raw)
 
     def end(self) -> str:
         """What remains: an unfinished character is one replacement character."""
@@ -329,11 +383,12 @@ def _ids_of(encoder: Encoder, text: str | None) -> tuple:
 def _digests_of(encoder: Encoder, text: str | None) -> tuple:
     ids_digest, text_digest, n = sha256(), sha256(), 0
     decoder = Decoder(encoder.vocabulary)
-    for part in encoder.encode(text or ""):
+    for part in encoder.entries(text or ""):
         if part:
-            ids_digest.update(("," * (n > 0) + ",".join(map(str, part))).encode())
-            text_digest.update(decoder.feed(part).encode())
-            n += len(part)
+            ids, names, raw = zip(*part)
+            ids_digest.update(("," * (n > 0) + ",".join(names)).encode())
+            text_digest.update(decoder.feed_bytes(b"".join(raw)).encode())
+            n += sum(map(len, ids))
     text_digest.update(decoder.end().encode())
     return n, ids_digest.hexdigest(), text_digest.hexdigest()
 
@@ -342,7 +397,7 @@ def _decoded_of(encoder: Encoder, text: str | None) -> tuple:
     if text is None:
         return None, 0
     decoder, out, n = Decoder(encoder.vocabulary), [], 0
-    for part in encoder.encode(text):
-        out.append(decoder.feed(part))
-        n += len(part)
+    for part in encoder.entries(text):
+        out.append(decoder.feed_bytes(b"".join([raw for _, _, raw in part])))
+        n += sum([len(ids) for ids, _, _ in part])
     return "".join(out) + decoder.end(), n
