@@ -104,3 +104,37 @@ def order_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "class_id", "kept")
+
+
+@query("op7_bpe")
+def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    from trailcast.llm import bpe, tokenizer_files
+
+    spec, pattern = tokenizer_files.byte_bpe()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, spec, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op9_cross_polytope", """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.rid AS a, b.rid AS b, b.vec_id AS other FROM ok a JOIN ok b
+  ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON r.b = p.a)
+  SELECT r.a, min(v.vec_id) AS least FROM r JOIN v ON v.rid = r.b GROUP BY r.a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(reach.least, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(reach.least, v.vec_id)) AS kept
+FROM v LEFT JOIN reach ON v.rid = reach.a LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) c ON c.a = v.rid
+""")
+def cross_polytope_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    from trailcast.llm import cross_polytope
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return cross_polytope.link(vectors).select("vec_id", "n_links", "component_id", "kept")
