@@ -138,3 +138,12 @@ def cross_polytope_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return cross_polytope.link(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op2_multiprobe_ann")
+def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest found for each vec_id divisible by 20."""
+    from trailcast.llm import pstable
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pstable.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
