@@ -147,3 +147,11 @@ def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return pstable.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op4_gated_lm")
+def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    from trailcast.llm import gated_lm
+
+    return gated_lm.score_held_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
