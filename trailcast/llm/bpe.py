@@ -352,10 +352,13 @@ def round_trip(docs: DataFrame, spec: str, pattern: str, text: str = "text") ->
     return _mapped(docs.drop(*fields.names), spec, pattern, text, fields, _digests_of)
 
 
-def reencoded(docs: DataFrame, spec: str, pattern: str, text: str = "text") -> DataFrame:
-    """The rows with n_tokens and the decoded text in place of the text; a null text stays null."""
-    fields = StructType([StructField("_decoded", StringType()), StructField("_n_tokens", LongType())])
-    return _mapped(docs, spec, pattern, text, fields, _decoded_of)
+def tokenized(docs: DataFrame, spec: str, pattern: str, text: str = "text") -> DataFrame:
+    """Add ids, n_tokens and decoded_sha256 (of the text that the ids decode to) to every row.
+
+    Null texts are empty. Input columns of these names are replaced.
+    """
+    fields = StructType().add("ids", "array<int>").add("n_tokens", "long").add("decoded_sha256", "string")
+    return _mapped(docs.drop(*fields.names), spec, pattern, text, fields, _tokenized_of)
 
 
 def _mapped(docs: DataFrame, spec: str, pattern: str, text: str, fields: StructType, make) -> DataFrame:
@@ -393,11 +396,12 @@ def _digests_of(encoder: Encoder, text: str | None) -> tuple:
     return n, ids_digest.hexdigest(), text_digest.hexdigest()
 
 
-def _decoded_of(encoder: Encoder, text: str | None) -> tuple:
-    if text is None:
-        return None, 0
-    decoder, out, n = Decoder(encoder.vocabulary), [], 0
-    for part in encoder.entries(text):
-        out.append(decoder.feed_bytes(b"".join([raw for _, _, raw in part])))
-        n += sum([len(ids) for ids, _, _ in part])
-    return "".join(out) + decoder.end(), n
+def _tokenized_of(encoder: Encoder, text: str | None) -> tuple:
+    decoder, digest = Decoder(encoder.vocabulary), sha256()
+    parts: list[np.ndarray] = [np.zeros(0, np.int32)]
+    for entries in encoder.entries(text or ""):
+        parts.append(np.fromiter((i for ids, _, _ in entries for i in ids), np.int32))
+        digest.update(decoder.feed_bytes(b"".join([raw for _, _, raw in entries])).encode())
+    digest.update(decoder.end().encode())
+    ids = np.concatenate(parts)
+    return ids, len(ids), digest.hexdigest()

@@ -22,28 +22,31 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _written: list[str] = []
 
 
-def write_table(df: DataFrame, partitioned_by: list[str] | None = None) -> DataFrame:
+def write_table(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder (``spark.checkpoint.dir``) and read it back.
 
-    Cuts the lineage like ``checkpoint()``: the files outlive lost executors.
+    Cuts the lineage like ``checkpoint()``: the files outlive lost executors. They go with ``drop_tables``.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    writer = df.write
-    if partitioned_by:
-        writer = writer.partitionBy(*partitioned_by)
-    writer.parquet(path)
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, after: int = 0) -> None:
+def new_path(spark: SparkSession) -> str:
+    """A path for a table in the shared folder."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
     """Delete what earlier jobs wrote to the shared folder. Results not yet written elsewhere depend on it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_written) > after:
-        path = hadoop.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    while _written:
+        drop_path(spark, _written.pop())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
