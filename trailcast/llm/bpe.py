@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Characters of a text that are read at once.
 PIECE = 1 << 16
@@ -338,7 +338,7 @@ def encode(docs: DataFrame, spec: str, pattern: str, text: str = "text", ids: st
     ``spec`` is the JSON text of a byte-level tokenizer file and ``pattern`` its word pattern. An
     input column called like the result is replaced, others pass through; repeated rows are alike.
     """
-    return _mapped(docs.drop(ids), spec, pattern, text, StructType().add(ids, "array<int>"), _ids_of)
+    return _mapped(docs.drop(ids), spec, pattern, text, StructType().add(ids, ArrayType(IntegerType())), _ids_of)
 
 
 def round_trip(docs: DataFrame, spec: str, pattern: str, text: str = "text") -> DataFrame:
@@ -357,7 +357,7 @@ def tokenized(docs: DataFrame, spec: str, pattern: str, text: str = "text") -> D
 
     Null texts are empty. Input columns of these names are replaced.
     """
-    fields = StructType().add("ids", "array<int>").add("n_tokens", "long").add("decoded_sha256", "string")
+    fields = StructType().add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded_sha256", "string")
     return _mapped(docs.drop(*fields.names), spec, pattern, text, fields, _tokenized_of)
 
 
