@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailcast.session import shared_folder
 
@@ -25,12 +25,21 @@ _written: list[str] = []
 def write_table(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder (``spark.checkpoint.dir``) and read it back.
 
-    Cuts the lineage like ``checkpoint()``: the files outlive lost executors. They go with ``drop_tables``.
+    Cuts the lineage like ``checkpoint()``: the files outlive lost executors. They go with
+    ``drop_tables``; the shuffle files of the job that writes go when it ends.
     """
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        # Small row groups: wide binary rows are read a row group at a time.
+        df.write.option("compression", "zstd").option("parquet.block.size", 1 << 24).parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession) -> str:
@@ -54,11 +63,6 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def row_block(row: Column, rows: int) -> Column:
-    """Blocks of at most ``rows`` consecutive rows of one partition."""
-    return F.floor(row / F.lit(rows)).cast("long")
-
-
 def tasks(spark: SparkSession, weight: float, per_task: float) -> int:
     """Partitions so that each gets about ``per_task`` of ``weight``; at least the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(np.ceil(weight / per_task)))

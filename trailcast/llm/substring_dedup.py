@@ -1,6 +1,6 @@
 """Substring dedup: remove words of windows that start more than once, with a count-min prefilter.
 
-1. Rows are written with a row number; runs of rows form blocks.
+1. Rows are packed, compressed, into blocks of bounded size and written.
 2. Each task sketches its windows (count-min rows cut into slices, as sorted counter positions);
    slices are summed by Spark, and only "count of two or more" stays, one bit a counter.
 3. Windows that the merged sketch estimates repeated go, once for each block, by hash to slices
@@ -18,7 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from trailcast.llm import common
 
@@ -26,15 +29,15 @@ from trailcast.llm import common
 WINDOW = 35
 #: Rows of the sketch.
 DEPTH = 2
-#: Counters of a sketch row: a power of two, eight for each window but never more than this. The
-#: merged sketch is one bit a counter: at most DEPTH * 2**28 / 8 = 64 MB are broadcast.
+#: Counters of a sketch row: a power of two, about four for each window but never more than this.
+#: The merged sketch is one bit a counter: at most DEPTH * 2**28 / 8 = 64 MB are broadcast.
 MOST_COUNTERS = 1 << 28
 #: Counters of a slice of a sketch row, merged by one task.
 SLICE = 1 << 22
 #: Windows sketched before a task hands them on: bounds its memory.
 FLUSH = 1 << 21
-#: Rows of a block.
-BLOCK_ROWS = 512
+#: Bytes of text, about, and rows of a block at most. A longer text is a block of its own.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 21, 4096
 #: Candidate windows of a block that one exact step counts, about.
 PER_GROUP = 1 << 20
 
@@ -58,7 +61,49 @@ def _counters(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return hashes >> np.uint64(64 - bits)
 
 
-def _sketch(bits: int):
+def _pack_blocks(at: int):
+    """Rows to blocks: one compressed payload each, with the bytes of text in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        size = rows = made = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size, rows, made
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            block = pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + made], pa.int64()), pa.array([size], pa.int64()),
+                 pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "payload"])
+            held, size, rows, made = [], 0, 0, made + 1
+            return block
+
+        for batch in batches:
+            _, offsets = common.buffers(batch.column(at))
+            start = 0
+            while start < batch.num_rows:
+                end = int(np.searchsorted(offsets, offsets[start] + BLOCK_BYTES - size, side="right")) - 1
+                end = min(batch.num_rows, max(end, start + (not held)), start + BLOCK_ROWS - rows)
+                if end > start:
+                    held.append(batch.slice(start, end - start))
+                    size += int(offsets[end] - offsets[start])
+                    rows += end - start
+                    start = end
+                if size >= BLOCK_BYTES or rows >= BLOCK_ROWS or start < batch.num_rows:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _unpack_block(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all().combine_chunks()
+
+
+def _sketch(at: int, bits: int):
     """Sorted counter positions by (row, slice), each at most twice in a hand-over."""
     slice_bits = min(bits, SLICE.bit_length() - 1)
 
@@ -81,8 +126,8 @@ def _sketch(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
-            for piece in _windows(batch.column(0), False):
+        for payload in _payloads(batches):
+            for piece in _windows(_unpack_block(payload).column(at), False):
                 held.append(piece[7])
                 size += len(piece[7])
                 if size >= FLUSH:
@@ -94,6 +139,12 @@ def _sketch(bits: int):
     return run
 
 
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batches:
+        for payload in batch.column("payload"):
+            yield payload.as_buffer()
+
+
 def _pack(sorted_values: np.ndarray) -> bytes:
     """Sorted numbers as 16-bit differences; a larger difference takes steps of 65535."""
     steps = np.diff(sorted_values, prepend=0)
@@ -130,13 +181,13 @@ def _merge(bits: int):
     return run
 
 
-def sketch(rows: DataFrame, bits: int) -> np.ndarray:
-    """The merged sketch of the windows of ``text``: for each row one bit a counter (two or more)."""
-    parts = rows.select("text").mapInArrow(_sketch(bits), "row int, slice long, positions binary")
-    merged = parts.groupBy("row", "slice").applyInArrow(_merge(bits), "row int, slice long, bits binary")
+def sketch(blocks: DataFrame, at: int, bits: int) -> np.ndarray:
+    """The merged sketch of all windows of column ``at``: for each row one bit a counter (two or more)."""
+    parts = blocks.select("payload").mapInArrow(_sketch(at, bits), "row int, slice long, positions binary")
+    merged = common.write_table(parts.groupBy("row", "slice").applyInArrow(_merge(bits), "row int, slice long, bits binary"))
     out = np.zeros((DEPTH, max(1, (1 << bits) >> 3)), np.uint8)
     size = min(1 << bits, SLICE) >> 3
-    for r in merged.toLocalIterator(prefetchPartitions=True):  # at most MOST_COUNTERS bits a row, in all
+    for r in merged.toLocalIterator():  # at most MOST_COUNTERS bits a row, in all
         out[r["row"], r["slice"] * size:(r["slice"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -153,46 +204,38 @@ def _estimated(hashes: np.ndarray, merged: np.ndarray, bits: int) -> np.ndarray:
 _ENTRY = np.dtype([("high", np.uint64), ("low", np.uint32), ("n", np.uint8)])
 
 
-def _candidates(shared, bits: int, groups: int):
+def _candidates(at: int, shared, bits: int, groups: int):
     """Estimated windows of each block, each once with the number of its starts (2: more), by group."""
 
-    def flush(block: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        high = np.concatenate([h for h, _ in held])
-        low = np.concatenate([x for _, x in held])
-        if not len(high):
-            return
+    def entries_of(texts: pa.Array) -> np.ndarray:
+        merged, held = shared.value, []
+        for piece in _windows(texts, True):
+            said = _estimated(piece[7], merged, bits)
+            held.append((piece[7][said], piece[8][said]))
+        high = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in held)])
+        low = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in held)])
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
-        first = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
-        at = np.flatnonzero(first)
-        entries = np.empty(len(at), _ENTRY)
-        entries["high"], entries["low"] = high[at], low[at]
-        entries["n"] = np.minimum(np.diff(np.append(at, len(high))), 2)
-        group = (entries["low"] % np.uint32(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        entries, group = entries[order], group[order]
-        edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * (len(edges) - 1), pa.int64()), pa.array(group[edges[:-1]], pa.int64()),
-             pa.array([entries[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
-            ["block", "part", "windows"])
+        first = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))) if len(high) else []
+        entries = np.empty(len(first), _ENTRY)
+        entries["high"], entries["low"] = high[first], low[first]
+        entries["n"] = np.minimum(np.diff(np.append(first, len(high))), 2)
+        return entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = shared.value
-        now, held = None, []
         for batch in batches:
-            blocks = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks))
-            for a, b in zip(edges[:-1], edges[1:]):
-                if blocks[a] != now:
-                    if held:
-                        yield from flush(now, held)
-                    now, held = int(blocks[a]), []
-                for piece in _windows(batch.column(1).slice(a, b - a), True):
-                    said = _estimated(piece[7], merged, bits)
-                    held.append((piece[7][said], piece[8][said]))
-        if held:
-            yield from flush(now, held)
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                entries = entries_of(_unpack_block(payload.as_buffer()).column(at))
+                if not len(entries):
+                    continue
+                group = (entries["low"] % np.uint32(groups)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                entries, group = entries[order], group[order]
+                edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * (len(edges) - 1), pa.int64()), pa.array(group[edges[:-1]], pa.int64()),
+                     pa.array([entries[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
+                    ["block", "part", "windows"])
 
     return run
 
@@ -257,36 +300,45 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     all of them lose those. Input columns called like the new ones are replaced.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
-    rows = docs.select(F.struct(*names).alias("_in"), F.col(text).alias("text"))
-    rows = common.write_table(common.with_row_id(rows).withColumn("block", common.row_block(F.col("_row"), BLOCK_ROWS)))
-    words = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 5  # more than there are windows
-    bits = max(3, min(int(8 * words).bit_length(), MOST_COUNTERS.bit_length() - 1))
-    merged = sketch(rows, bits)
+    rows = docs.drop("kept_text", "n_words", "n_removed")
+    at, width = rows.columns.index(text), len(rows.columns)
+    blocks = common.write_table(rows.mapInArrow(_pack_blocks(at), "block long, size long, payload binary"))
+    size, n_blocks = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    windows = size / 6.5  # about: a word and its space
+    bits = max(3, min(int(3 * windows).bit_length(), MOST_COUNTERS.bit_length() - 1))
+    merged = sketch(blocks, at, bits)
     shared = spark.sparkContext.broadcast(merged)
     fill = [float(np.bitwise_count(merged[r]).sum()) / (1 << bits) for r in range(DEPTH)]
-    groups = common.tasks(spark, words * (0.3 + float(np.prod(fill))), PER_GROUP)
-    found = rows.select("block", "text").mapInArrow(
-        _candidates(shared, bits, groups), "block long, part long, windows binary")
-    repeated = found.groupBy("part").applyInArrow(_exact, "block long, windows binary")
-    out = rows.select("_in.*", F.col("text").alias("_llm_text"), F.col("block").alias("_llm_block"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["_in"].dataType.fields)
-    n = len(names)
+    groups = common.tasks(spark, windows * (0.3 + float(np.prod(fill))), PER_GROUP)
+    found = blocks.select("block", "payload").mapInArrow(
+        _candidates(at, shared, bits, groups), "block long, part long, windows binary")
+    repeated = common.write_table(found.groupBy("part").applyInArrow(_exact, "block long, windows binary"))
+    shared.unpersist()
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in right.column("windows").to_pylist()]
         keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        texts = left.column(n).combine_chunks()
-        kept, counts, gone_counts = [], [], []
-        for k, (part, starts, ends, gone) in enumerate(_removed(keys, texts)):
-            lost = int(gone.sum())
-            kept.append(_kept_text(part, starts, ends, gone).decode() if lost else texts[k].as_py())
-            counts.append(len(starts))
-            gone_counts.append(lost)
-        return pa.table([*left.columns[:n], pa.array(kept, pa.string()), pa.array(counts, pa.int64()),
-                         pa.array(gone_counts, pa.int64())],
-                        names=[*left.column_names[:n], "kept_text", "n_words", "n_removed"])
-
-    return out.groupBy("_llm_block").cogroup(repeated.groupBy("block")).applyInArrow(
-        clean, f"{fields}, kept_text string, n_words long, n_removed long")
-
+        out = []
+        for payload in left.column("payload").to_pylist():  # one, as block numbers are unique
+            own = _unpack_block(payload)
+            texts = own.column(at).combine_chunks()
+            kept, counts, gone_counts = [], [], []
+            for k, (part, starts, ends, gone) in enumerate(_removed(keys, texts)):
+                lost = int(gone.sum())
+                kept.append(_kept_text(part, starts, ends, gone).decode() if lost else texts[k].as_py())
+                counts.append(len(starts))
+                gone_counts.append(lost)
+            out.append(pa.table([*own.columns, pa.array(kept, pa.string()), pa.array(counts, pa.int64()),
+                                 pa.array(gone_counts, pa.int64())],
+                                names=[*(f"c{k}" for k in range(width)), "kept_text", "n_words", "n_removed"]))
+        return pa.concat_tables(out) if out else empty.empty_table()
+
+    schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(rows.schema.fields)]
+                        + [StructField("kept_text", StringType()), StructField("n_words", LongType()),
+                           StructField("n_removed", LongType())])
+    empty = to_arrow_schema(schema)
+    # As many tasks as blocks make about 32 MB of text each.
+    cut = common.tasks(spark, n_blocks, 16)
+    cleaned = blocks.select("block", "payload").repartition(cut, "block").groupBy("block").cogroup(
+        repeated.repartition(cut, "block").groupBy("block")).applyInArrow(clean, schema)
+    return cleaned.toDF(*rows.columns, "kept_text", "n_words", "n_removed")
