@@ -238,9 +238,10 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     digest = F.when(F.col(text).rlike(common.WORD), F.sha2(F.regexp_replace(
         F.btrim(F.col(text), F.lit(" \t\n\x0b\x0c\r")), common.SPACE, " "), 256))
     rows = common.write_table(common.with_row_id(
-        docs.select(F.struct(*names).alias("_in"), F.col(text).alias("text"), digest.alias("digest")), "row"))
+        docs.select(F.struct(*names).alias("_in"), digest.alias("digest")), "row"))
     copies = common.write_table(rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("head")))
-    texts = common.write_table(rows.join(copies.select(F.col("head").alias("row")), "row", "left_semi").select("row", "text"))
+    texts = common.write_table(rows.join(copies.select(F.col("head").alias("row")), "row", "left_semi").select(
+        "row", F.col("_in")[text].alias("text")))
     linked = common.write_table(links(texts))
     groups = components(linked)
     # Rows to the head of their copies, heads to their component.
