@@ -287,8 +287,8 @@ class Network:
         return out
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, mask: np.ndarray,
-                  state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients of the mean negative log probability over a window, and the state after it."""
+                  state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Gradients of the mean negative log probability over a window, the inputs that they change, the state after it."""
         trace: list = []
         states = self.steps(ids, state, trace)
         after = states[-1]
@@ -302,7 +302,7 @@ class Network:
         wanted = self.classes(wanted_ids)
         p[np.arange(len(used)), wanted] -= 1
         p *= scale
-        g = {name: np.zeros_like(x) for name, x in self.w.items()}
+        g = {name: np.zeros_like(x) for name, x in self.w.items() if name != "inputs"}
         g["class"], g["class_bias"] = flat.T @ p, p.sum(axis=0)
         d_flat = p @ self.w["class"].T
         for k, at in _grouped(wanted, self.groups):
@@ -330,8 +330,12 @@ class Network:
             d_gate[:, 2 * HIDDEN:] *= r
             g["state"] += before.T @ d_gate
             carry = d * z + d_gate @ u.T
-        np.add.at(g["inputs"], ids.ravel(), d_inputs.reshape(-1, 3 * HIDDEN))
-        return g, after
+        # Of the input table only the rows that occur.
+        order = np.argsort(ids, axis=None, kind="stable")
+        rows = ids.ravel()[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        g["inputs"] = np.add.reduceat(d_inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        return g, rows[first], after
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
@@ -384,14 +388,17 @@ def _train(shared):
                     streams[s] = streams[s][n:]
             if not mask.any():
                 return 0
-            g, after = network.gradients(ids, targets, mask, state.copy())
+            g, rows, after = network.gradients(ids, targets, mask, state.copy())
             state[:] = after
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             for name, x in g.items():
                 if norm > 1:
-                    x /= norm
-                squares[name] += x * x
-                network.w[name] -= np.float32(RATE) * x / np.sqrt(squares[name])
+                    x /= np.float32(norm)
+                at = rows if name == "inputs" else slice(None)
+                power = squares[name][at] + x * x
+                squares[name][at] = power
+                x *= np.float32(RATE)
+                network.w[name][at] -= x / np.sqrt(power)
             return int(mask.sum())
 
         for batch in batches:
@@ -530,6 +537,9 @@ def _score(shared):
 
 
 _RARE = np.dtype([("row", np.int64), ("word", np.uint64), ("n", np.int32)])
+_SUM = np.dtype([("row", np.int64), ("log_count", np.float64), ("known", np.int64)])
+#: Rows whose sums travel together.
+SUM_ROWS = 4096
 
 
 def _spread(slices: int):
@@ -556,20 +566,31 @@ def _spread(slices: int):
 
 
 def _rare_sums(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums of a slice's words for each document: log10 of count + SMOOTH, and how many are known."""
-    empty = pa.table({"row": pa.array([], pa.int64()), "log_count": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
-    entries = [np.frombuffer(x, _RARE) for x in left.column("words").to_pylist()]
-    if not entries:
-        return empty
-    entries = np.concatenate(entries)
-    counts = [np.frombuffer(x, _COUNT) for x in right.column("counts").to_pylist()]
+    """Sums of a slice's words for each document (log10 of count + SMOOTH, how many are known), by blocks of rows."""
+    entries = np.concatenate([np.zeros(0, _RARE), *(np.frombuffer(x, _RARE) for x in left.column("words").to_pylist())])
+    counts = np.concatenate([np.zeros(0, _COUNT), *(np.frombuffer(x, _COUNT) for x in right.column("counts").to_pylist())])
     n = np.zeros(len(entries), np.int64)
-    if counts and len(counts := np.concatenate(counts)):
+    if len(counts):
         at = np.minimum(np.searchsorted(counts["word"], entries["word"]), len(counts) - 1)
         n = np.where(counts["word"][at] == entries["word"], counts["n"][at], 0)
     rows, owner = np.unique(entries["row"], return_inverse=True)
-    return pa.table({"row": pa.array(rows), "log_count": pa.array(np.bincount(owner, weights=np.log10(n + SMOOTH) * entries["n"])),
-                     "known": pa.array(np.bincount(owner, weights=(n > 0) * entries["n"]).astype(np.int64))})
+    sums = np.empty(len(rows), _SUM)
+    sums["row"] = rows
+    sums["log_count"] = np.bincount(owner, weights=np.log10(n + SMOOTH) * entries["n"], minlength=len(rows))
+    sums["known"] = np.bincount(owner, weights=(n > 0) * entries["n"], minlength=len(rows))
+    block = rows // SUM_ROWS
+    edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, int)
+    return pa.table({"block": pa.array(block[edges[:-1]], pa.int64()),
+                     "sums": pa.array([sums[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
+
+
+def _row_sums(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over all slices, one row for each document of a block."""
+    sums = np.concatenate([np.frombuffer(x, _SUM) for batch in batches for x in batch.column("sums").to_pylist()])
+    rows, owner = np.unique(sums["row"], return_inverse=True)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(rows), pa.array(np.bincount(owner, weights=sums["log_count"])),
+         pa.array(np.bincount(owner, weights=sums["known"]).astype(np.int64))], ["row", "log_count", "known"])
 
 
 def score(docs: DataFrame, counts: Counts, network: Network, table: DataFrame, slices: int) -> DataFrame:
@@ -581,8 +602,8 @@ def score(docs: DataFrame, counts: Counts, network: Network, table: DataFrame, s
                         "model double, rare binary, rare_n binary"))
     rare = said.select("row", "rare", "rare_n").mapInArrow(_spread(slices), "slice long, words binary")
     sums = rare.groupBy("slice").cogroup(table.groupBy("slice")).applyInArrow(
-        _rare_sums, "row long, log_count double, known long").groupBy("row").agg(
-        F.sum("log_count").alias("log_count"), F.sum("known").alias("known"))
+        _rare_sums, "block long, sums binary").groupBy("block").applyInArrow(
+        _row_sums, "row long, log_count double, known long")
     rest = F.coalesce("log_count", F.lit(0.0))
     return said.drop("rare", "rare_n").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"),
