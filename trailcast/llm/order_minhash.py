@@ -201,24 +201,27 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return (len(x) + len(y) - int(np.abs(np.add.reduceat(side, start)).sum())) // 2 if len(start) else 0
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Verified links (a < b, distance) between rows of (row, text), whose texts all differ.
+def links(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Verified links (a < b, distance) between those rows of (row, text) that ``heads`` (row) names.
 
     Every row is compared with the representatives of all its buckets: no bucket is capped and no
-    group is paired with itself.
+    group is paired with itself. Texts move only once they take part in a pair.
     """
-    keyed = common.write_table(texts.mapInArrow(_sketch, "row long, n int, keys array<long>"))
-    n = F.size("keys")
+    keyed = rows.mapInArrow(_sketch, "row long, n int, keys array<long>")
+    keyed = common.write_table(keyed.join(heads, "row", "left_semi"))
     buckets = keyed.select("row", "n", F.explode(F.expr(
         "transform(sequence(0, size(keys) - 1), i -> named_struct('one', xxhash64(i, keys[i]), "
         "'two', xxhash64(i, keys[i], keys[IF(i % {0} = {0} - 1, i - {0} + 1, i + 1)])))".format(SKETCHES))).alias("k"))
     keys = buckets.select("row", "n", F.explode(F.array("k.one", "k.two")).alias("key"))
-    heads = keys.groupBy("key").agg(F.min("row").alias("head"), F.min_by("n", "row").alias("head_n"),
-                                    F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "head", "head_n")
-    pairs = keys.join(heads, "key").where(
+    first = common.write_table(keys.groupBy("key").agg(
+        F.min("row").alias("head"), F.min_by("n", "row").alias("head_n"), F.count(F.lit(1)).alias("size")).where(
+        "size > 1").select("key", "head", "head_n"))
+    pairs = keys.join(first, "key").where(
         (F.col("row") != F.col("head")) &
         (F.abs(F.col("n") - F.col("head_n")) <= F.floor(F.greatest("n", "head_n") * F.lit(1 - SIMILARITY) + 1e-9)))
-    pairs = pairs.select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
+    pairs = common.write_table(pairs.select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
+    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = common.write_table(rows.join(named, "row", "left_semi"))
     left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
@@ -240,9 +243,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = common.write_table(common.with_row_id(
         docs.select(F.struct(*names).alias("_in"), digest.alias("digest")), "row"))
     copies = common.write_table(rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("head")))
-    texts = common.write_table(rows.join(copies.select(F.col("head").alias("row")), "row", "left_semi").select(
-        "row", F.col("_in")[text].alias("text")))
-    linked = common.write_table(links(texts))
+    texts = rows.where("digest is not null").select("row", F.col("_in")[text].alias("text"))
+    linked = common.write_table(links(texts, copies.select(F.col("head").alias("row"))))
     groups = components(linked)
     # Rows to the head of their copies, heads to their component.
     member = rows.select("row", "digest", F.col("_in.doc_id").alias("doc_id")).join(copies, "digest", "left")
