@@ -23,9 +23,9 @@ def unit_bucket(score: Column, n: int = GRID) -> Column:
 
 
 def real_bucket(score: Column, n: int = GRID) -> Column:
-    """Monotone bucket for any real number."""
+    """Monotone bucket for any real number: even steps of the logarithm, so large values spread too."""
     s = score.cast("double")
-    return F.floor(s / (F.lit(1.0) + F.abs(s)) * n).cast("bigint")
+    return F.floor(F.signum(s) * F.log1p(F.abs(s)) * n).cast("bigint")
 
 
 def quantile_bucket(df: DataFrame, column: str, n: int = 512) -> Column:

@@ -29,12 +29,9 @@ def prefix_id(run: Column, step: Column) -> Column:
     return T.short_id(run, step)
 
 
-def label_prefixes(rows: DataFrame, runs: DataFrame, mode: str = "default",
-                   broadcast_runs: bool = False) -> DataFrame:
+def label_prefixes(rows: DataFrame, runs: DataFrame, mode: str = "default") -> DataFrame:
     """Join run labels to per-step rows (column ``prefix_step``) and keep the scheduled ones."""
     labels = runs.select("trajectory_id", "n_total_steps", "y_fail")
-    if broadcast_runs:
-        labels = F.broadcast(labels)
     joined = rows.join(labels, "trajectory_id")
     kept = joined.where(on_schedule(F.col("prefix_step"), F.col("n_total_steps"), mode))
     return kept.withColumn("prefix_id", prefix_id(F.col("trajectory_id"), F.col("prefix_step")))

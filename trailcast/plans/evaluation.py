@@ -174,12 +174,12 @@ _CANDIDATES = """
 few AS (SELECT DISTINCT risk AS t FROM {rows}),
 candidates AS (
   SELECT DISTINCT t FROM (
-    SELECT t FROM few WHERE (SELECT count(*) FROM few) <= 200
-    UNION ALL SELECT unnest(quantile_cont(risk, {q})) FROM {rows} WHERE (SELECT count(*) FROM few) > 200))"""
+    SELECT t FROM few WHERE (SELECT count(*) FROM few) <= {n}
+    UNION ALL SELECT unnest(quantile_cont(risk, {q})) FROM {rows} WHERE (SELECT count(*) FROM few) > {n}))"""
 
 
-def candidates_sql(rows: str) -> str:
-    return _CANDIDATES.format(rows=rows, q="[" + ", ".join(repr(i / 199) for i in range(200)) + "]")
+def candidates_sql(rows: str, n: int = 200) -> str:
+    return _CANDIDATES.format(rows=rows, n=n, q="[" + ", ".join(repr(i / (n - 1)) for i in range(n)) + "]")
 
 
 @query("candidate_thresholds", RISK + "," + candidates_sql("risk") + " SELECT round(t, 6) AS threshold FROM candidates")
@@ -187,8 +187,7 @@ def candidate_thresholds(spark, sf):
     return rounded(AL.candidate_thresholds(cut_lineage(S.risk(spark, sf))))
 
 
-@query("candidate_threshold_grid", RISK + """
-SELECT DISTINCT round(unnest(quantile_cont(risk, [""" + ", ".join(repr(i / 19) for i in range(20)) + """])), 6) AS threshold FROM risk""")
+@query("candidate_threshold_grid", RISK + "," + candidates_sql("risk", 20) + " SELECT DISTINCT round(t, 6) AS threshold FROM candidates")
 def candidate_threshold_grid(spark, sf):
     return rounded(AL.candidate_thresholds(cut_lineage(S.risk(spark, sf)), n_grid=20))
 

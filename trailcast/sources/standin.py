@@ -95,7 +95,7 @@ def risk(spark: SparkSession, sf_dir: str, every_step: bool = False) -> DataFram
             out = s.join(labels.select("trajectory_id", "n_total_steps", "y_fail"), "trajectory_id")
             out = out.withColumn("prefix_id", PX.prefix_id(F.col("trajectory_id"), F.col("prefix_step")))
         else:
-            out = PX.label_prefixes(s, labels, broadcast_runs=scan.block_rows is not None)
+            out = PX.label_prefixes(s, labels)
         return out.select(*PX.META, "risk")
 
     return by_run_length(e, job)
