@@ -40,14 +40,9 @@ class Calibrator:
 
 
 def fit_calibrator(df: DataFrame, method: str = "isotonic", score: str = "risk", label: str = "y_fail") -> Calibrator:
-    """Fit on counted distinct scores; the identity for ``none`` and for one class only.
-
-    Isotonic fits count scores to six decimals, so at most a million points are pooled.
-    """
+    """Fit on counted distinct scores; the identity for ``none`` and for one class only."""
     if method in ("none", "identity"):
         return Calibrator("identity")
-    if method == "isotonic":
-        df = df.withColumn(score, F.round(score, 6))
     h = histogram(df, score, label)
     totals = h.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     if not totals.pos or not totals.neg:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trailcast.functions import patterns as P
 from trailcast.functions import text as T
-from trailcast.operators.ordering import attach, running_total
+from trailcast.operators.ordering import attach, number_rows, running_total
 from trailcast.operators.sampling import first_per_group
 from trailcast.operators.scan import RunScan, last_before, last_seen, running_sum
+from trailcast.session import cut_lineage
 
 TEXT_LIMIT = 8000
 RAW_COLUMNS = ["instance_id", "model_name", "target", "trajectory", "exit_status", "generated_patch", "eval_logs"]
@@ -147,13 +148,19 @@ def steps_of_live_log(messages: DataFrame, scan: RunScan) -> DataFrame:
 def normalize(raw: DataFrame, scan: RunScan | None = None) -> tuple[DataFrame, DataFrame]:
     """(runs, steps) of raw logs. Rows that cannot be read become runs without steps.
 
-    Identical rows share one id and are kept once.
+    Every raw row is a run. Rows with the same instance, model and content are attempts, successes
+    first: the second gets the id with "-2" after it, and so on.
     """
     scan = scan or RunScan(position="pos")
     kind = dict(raw.dtypes)["target"]
     r = project_raw(raw).withColumns({
         "trajectory_id": run_id(F.col("instance_id"), F.col("model_name"), F.col("trajectory")),
-        "y_fail": (~success_flag(F.col("target"), kind)).cast("bigint")}).dropDuplicates(["trajectory_id"])
+        "y_fail": (~success_flag(F.col("target"), kind)).cast("bigint"), "_row": F.monotonically_increasing_id()})
+    # Attempts are counted in blocks of 65,536 row numbers, so a log repeated in most rows is spread.
+    block = F.col("y_fail") * (1 << 48) + F.shiftright("_row", 16)
+    r = number_rows(cut_lineage(r), [F.col("y_fail"), F.col("_row")], block, "attempt", ["trajectory_id"])
+    r = r.withColumn("trajectory_id", F.when(F.col("attempt") == 1, F.col("trajectory_id")).otherwise(
+        F.concat("trajectory_id", F.lit("-"), F.col("attempt").cast("string")))).drop("_row", "attempt")
     r = r.withColumn("items", payload_items(F.col("trajectory"))).withColumn(
         "turns", is_turn_shape(F.col("items")))
     items = r.select("trajectory_id", "turns", F.posexplode("items").alias("pos", "item"))

@@ -367,7 +367,7 @@ def _ap_sql(score: str) -> str:
             f"FROM (SELECT {score} AS s, sum(y_fail) AS pos, sum(1 - y_fail) AS neg FROM judged GROUP BY 1)))")
 
 
-@query("judge_report", _JUDGED + "," + draws_sql("risk", "instance_id", 20, 42) + f""",
+@query("judge_report", _JUDGED + "," + draws_sql("risk", "instance_id", 2000, 42) + f""",
 b AS ({weighted_auc_sql('risk').replace('FROM risk JOIN', 'FROM judged JOIN')}), n AS ({weighted_auc_sql('judge_risk').replace('FROM risk JOIN', 'FROM judged JOIN')}),
 d AS (SELECT n.value - b.value AS d FROM b JOIN n USING (replicate))
 SELECT count(*) AS n, CAST(sum(y_fail) AS BIGINT) AS n_pos, round(1 - avg(valid_json), 6) AS invalid_json_rate, round(avg(latency_s), 6) AS avg_latency_s,
@@ -379,7 +379,7 @@ SELECT count(*) AS n, CAST(sum(y_fail) AS BIGINT) AS n_pos, round(1 - avg(valid_
   (SELECT round(quantile_cont(d, 0.025), 4) FROM d) AS delta_lo, (SELECT round(quantile_cont(d, 0.975), 4) FROM d) AS delta_hi,
   (SELECT round(count(*) FILTER (d > 0) / count(*), 3) FROM d) AS frac_judge_better FROM judged""")
 def judge_report(spark, sf):
-    return rounded(J.report(reuse(J.read_replies(judged(spark, sf))), n_boot=20))
+    return rounded(J.report(reuse(J.read_replies(judged(spark, sf)))))
 
 
 @query("judge_costs", _JUDGED + """

@@ -280,15 +280,15 @@ def weighted_auc_sql(score: str) -> str:
       FROM risk JOIN times ON instance_id = g GROUP BY ALL)) GROUP BY 1"""
 
 
-@query("bootstrap_auc_interval", RISK + "," + draws_sql("risk", "instance_id", 40, 42) + f""",
+@query("bootstrap_auc_interval", RISK + "," + draws_sql("risk", "instance_id", 500, 42) + f""",
 reps AS ({weighted_auc_sql('risk')})
 SELECT round((SELECT auc FROM ({pair_auc('risk')})), 6) AS point, round(quantile_cont(value, 0.025), 6) AS lo,
   round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_boot FROM reps""")
 def bootstrap_auc_interval(spark, sf):
-    return rounded(RS.bootstrap_interval(cut_lineage(S.risk(spark, sf)), n_boot=40))
+    return rounded(RS.bootstrap_interval(cut_lineage(S.risk(spark, sf))))
 
 
-@query("bootstrap_precision_interval", RISK + "," + draws_sql("risk", "instance_id", 40, 42) + """,
+@query("bootstrap_precision_interval", RISK + "," + draws_sql("risk", "instance_id", 500, 42) + """,
 reps AS (
   SELECT replicate, CASE WHEN sum(neg) > 0 THEN sum(CASE WHEN pos > 0 THEN pos * tp / (tp + fp) ELSE 0 END) / nullif(sum(pos), 0) END AS value FROM (
     SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM (
@@ -297,13 +297,13 @@ reps AS (
 SELECT round((SELECT sum(pos * tp / (tp + fp)) / sum(pos) FROM cum), 6) AS point, round(quantile_cont(value, 0.025), 6) AS lo,
   round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_boot FROM reps""")
 def bootstrap_precision_interval(spark, sf):
-    return rounded(RS.bootstrap_interval(cut_lineage(S.risk(spark, sf)), "average_precision", n_boot=40))
+    return rounded(RS.bootstrap_interval(cut_lineage(S.risk(spark, sf)), "average_precision"))
 
 
 _SECOND = "round(risk * 0.7 + (prefix_step % 7) * 0.04, 6)"
 
 
-@query("paired_bootstrap_delta", RISK + "," + draws_sql("risk", "instance_id", 40, 42) + f""",
+@query("paired_bootstrap_delta", RISK + "," + draws_sql("risk", "instance_id", 1000, 42) + f""",
 scored AS (SELECT *, {_SECOND} AS risk_new FROM risk),
 b AS ({weighted_auc_sql('risk')}), n AS ({weighted_auc_sql(_SECOND)}),
 d AS (SELECT b.value AS vb, n.value AS vn FROM b JOIN n USING (replicate) WHERE b.value IS NOT NULL),
@@ -315,16 +315,16 @@ SELECT round(pb, 4) AS auc_base, round(pn, 4) AS auc_new, round(pn - pb, 4) AS d
   count(*) AS n_boot FROM d, p GROUP BY pb, pn""")
 def paired_bootstrap_delta(spark, sf):
     r = cut_lineage(S.risk(spark, sf)).withColumn("risk_new", F.round(F.col("risk") * 0.7 + (F.col("prefix_step") % 7) * 0.04, 6))
-    return RS.paired_auc_delta(r, "risk", "risk_new", n_boot=40)
+    return RS.paired_auc_delta(r, "risk", "risk_new")
 
 
-@query("mean_bootstrap_interval", "WITH " + draws_sql("customer", "c_custkey", 20, 0) + """,
+@query("mean_bootstrap_interval", "WITH " + draws_sql("customer", "c_custkey", 2000, 0) + """,
 reps AS (SELECT replicate, sum(c_acctbal * times) / sum(times) AS value FROM customer JOIN times ON c_custkey = g GROUP BY 1)
 SELECT round((SELECT avg(c_acctbal) FROM customer), 6) AS mean, (SELECT count(*) FROM customer) AS n,
   round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi, count(value) AS n_boot FROM reps""")
 def mean_bootstrap_interval(spark, sf):
     c = S.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    return rounded(RS.mean_interval(c, "c_acctbal", "c_custkey", n_boot=20))
+    return rounded(RS.mean_interval(c, "c_acctbal", "c_custkey"))
 
 
 # ---------------------------------------------------------------- abstention
@@ -352,12 +352,12 @@ def risk_coverage_selective(spark, sf):
 
 @query("risk_coverage_random", RISK + f""",
 ranked AS (SELECT rep, risk, y_fail, row_number() OVER (PARTITION BY rep ORDER BY md5(concat('42|', rep, '|', prefix_id)), prefix_id) AS rn
-  FROM risk, (VALUES (0), (1), (2)) r(rep)),
+  FROM risk, (VALUES (0), (1), (2), (3), (4)) r(rep)),
 kept AS (SELECT k, rep, risk, y_fail, concat(k, '/', rep) AS g FROM ranked JOIN {_KEPT} ON rn <= k)
 SELECT round(k / (SELECT count(*) FROM risk), 6) AS coverage, round(avg(auc), 6) AS auc, k AS n
 FROM (SELECT *, CAST(split_part(g, '/', 1) AS BIGINT) AS k FROM ({pair_auc('kept', 'g')})) WHERE auc IS NOT NULL GROUP BY k""")
 def risk_coverage_random(spark, sf):
-    return rounded(AB.random_curve(cut_lineage(S.risk(spark, sf)), repeats=3))
+    return rounded(AB.random_curve(cut_lineage(S.risk(spark, sf)), repeats=5))
 
 
 @query("risk_coverage_step_gate", RISK + """,

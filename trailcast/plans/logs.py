@@ -111,8 +111,10 @@ _RAW = f"""WITH raw AS (
     replace(replace(CASE (conv_id + turn) % 6 {" ".join(f"WHEN {i} THEN {quoted(s)}" for i, s in enumerate(_SHAPES))} END, '<a>', a), '<b>', b) AS trajectory
   FROM conversations),
 ids AS (
-  SELECT DISTINCT substr(sha1(concat(instance_id, chr(31), coalesce(model_name, '?'), chr(31), substr(sha1(trajectory), 1, 10))), 1, 12) AS trajectory_id,
-    instance_id, model_name, shape, a, b FROM raw),
+  SELECT CASE WHEN attempt = 1 THEN base ELSE concat(base, '-', attempt) END AS trajectory_id, instance_id, model_name, y_fail, shape, a, b
+  FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY y_fail) AS attempt FROM (
+    SELECT *, CAST(NOT ok AS BIGINT) AS y_fail,
+      substr(sha1(concat(instance_id, chr(31), coalesce(model_name, '?'), chr(31), substr(sha1(trajectory), 1, 10))), 1, 12) AS base FROM raw))),
 steps_raw AS (
   SELECT trajectory_id, CAST(0 AS BIGINT) AS step_index, concat('t ', a) AS thought_text, concat('cat src/', a, '.py') AS action_text, concat('o ', b) AS observation_text, CAST(NULL AS BIGINT) AS returncode FROM ids WHERE shape = 0
   UNION ALL SELECT trajectory_id, 1, '', concat('r ', a), '', 1 FROM ids WHERE shape = 0
@@ -123,16 +125,16 @@ steps_raw AS (
   UNION ALL SELECT trajectory_id, 0, '', '', concat('free text ', a), NULL FROM ids WHERE shape = 4)"""
 
 
-@query("raw_payload_steps", _RAW + " SELECT DISTINCT * FROM steps_raw")
+@query("raw_payload_steps", _RAW + " SELECT * FROM steps_raw")
 def raw_payload_steps(spark, sf):
     return N.normalize(raw_runs(spark, sf))[1].select(
         "trajectory_id", "step_index", "thought_text", "action_text", "observation_text", "returncode")
 
 
 @query("raw_run_summary", _RAW + """
-SELECT DISTINCT trajectory_id, instance_id, model_name, CAST(CASE shape WHEN 5 THEN 0 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS n_total_steps FROM ids""")
+SELECT trajectory_id, instance_id, model_name, CAST(CASE shape WHEN 5 THEN 0 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS n_total_steps, y_fail FROM ids""")
 def raw_run_summary(spark, sf):
-    return N.normalize(raw_runs(spark, sf))[0].drop("y_fail")
+    return N.normalize(raw_runs(spark, sf))[0]
 
 
 @query("raw_run_ids", _RAW + """

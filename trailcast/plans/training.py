@@ -1,8 +1,7 @@
 """Queries that fit models. They have no SQL twin; tests check their invariants.
 
-Iteration counts are kept small here; the library defaults are the full settings. The
-feature table is checkpointed first: fitting plans many small jobs over it, and each
-would otherwise carry the whole feature plan.
+All fits use the full settings. The feature table is checkpointed first: fitting plans many
+small jobs over it, and each would otherwise carry the whole feature plan.
 """
 
 from __future__ import annotations
@@ -31,8 +30,6 @@ from trailcast.plans.registry import query
 from trailcast.session import cut_lineage
 from trailcast.sources import standin as S
 
-FAST = {"iterations": 30, "trees": 10, "rounds": 5}
-
 
 def folds(spark, sf, table=None):
     """Train, validation and test prefixes with features."""
@@ -53,23 +50,23 @@ def majority_baseline(spark, sf):
 def model_comparison_table(spark, sf):
     steps = S.steps(spark, sf)
     train, val, test = folds(spark, sf, FT.prefix_table(steps, S.runs(steps), text=True))
-    models = {n: MD.fit(n, train, **FAST) for n in MD.ROSTER}
+    models = {n: MD.fit(n, train) for n in MD.ROSTER}
     names = list(models)
-    return RP.comparison_table(cut_lineage(RP.score_models(models, val)), cut_lineage(RP.score_models(models, test)), names, n_boot=20)
+    return RP.comparison_table(cut_lineage(RP.score_models(models, val)), cut_lineage(RP.score_models(models, test)), names)
 
 
 @query("feature_ablation_table")
 def feature_ablation_table(spark, sf):
     train, val, test = folds(spark, sf)
-    families = [["step_count_only"], ["action_counts"], ["testing_behavior"], ["loop_behavior"], ["all_structured"]]
-    return RP.ablation_table(train, val, test, families, "logistic_regression", **FAST)
+    families = [[f] for f in FT.FAMILIES] + [["all_structured"]]
+    return RP.ablation_table(train, val, test, families, "logistic_regression")
 
 
 @query("shuffled_label_auc")
 def shuffled_label_auc(spark, sf):
     train, val, _ = folds(spark, sf)
-    real = MD.fit("logistic_regression", train, **FAST)
-    control = MD.fit_shuffled(train, **FAST)
+    real = MD.fit("logistic_regression", train)
+    control = MD.fit_shuffled(train)
     return attach(M.roc_auc(real.score(val)).select(F.col("auc").alias("real_auc")),
                   M.roc_auc(control.score(val)).select(F.col("auc").alias("shuffled_auc")))
 
@@ -77,7 +74,7 @@ def shuffled_label_auc(spark, sf):
 @query("calibrated_reliability")
 def calibrated_reliability(spark, sf):
     train, val, test = folds(spark, sf)
-    model = MD.fit("logistic_regression", train, **FAST)
+    model = MD.fit("logistic_regression", train)
     v, t = cut_lineage(model.score(val)), cut_lineage(model.score(test))
     out = M.reliability(t).withColumn("method", F.lit("raw"))
     for method in ("platt", "isotonic"):
@@ -89,7 +86,7 @@ def calibrated_reliability(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     train, _, _ = folds(spark, sf)
-    return MD.importance(MD.fit("logistic_regression", train, **FAST))
+    return MD.importance(MD.fit("logistic_regression", train))
 
 
 @query("blended_scores")
@@ -101,7 +98,7 @@ def blended_scores(spark, sf):
             df = models[name].score(df, short)
         return cut_lineage(df.select(*RP.SLIM, "p_boost", "p_forest", "p_linear"))
 
-    models = {n: MD.fit(n, train, **FAST) for n in ("gradient_boosting", "random_forest", "logistic_regression")}
+    models = {n: MD.fit(n, train) for n in ("gradient_boosting", "random_forest", "logistic_regression")}
     winner, out = MD.blend(scored(val), scored(test), ["p_boost", "p_forest", "p_linear"])
     return out.withColumn("combiner", F.lit(winner))
 
@@ -110,12 +107,12 @@ def blended_scores(spark, sf):
 def feature_set_comparison(spark, sf):
     """Base against base plus dynamics: chosen on validation, one paired test."""
     steps = S.steps(spark, sf)
-    table = FT.prefix_table(steps, S.runs(steps), features="dynamics", similarity="edit", compression=False)
+    table = FT.prefix_table(steps, S.runs(steps), features="dynamics")
     train, val, test = folds(spark, sf, table)
     everything = [c for c in train.columns if c.startswith("f__")]
     base = [c for c in everything if not c.startswith("f__adv_")]
     return MD.compare_candidates(train, val, test, {"base": base, "dynamics": everything}, "base",
-                                 "logistic_regression", n_boot=20, **FAST)
+                                 "logistic_regression")
 
 
 @query("label_scheme_comparison")
@@ -126,7 +123,7 @@ def label_scheme_comparison(spark, sf):
     columns = [c for c in train.columns if c.startswith("f__")]
     fits = {"terminal": {}, "gated": {"label": "y_gated"}, "noise_weighted": {"weight": "w_noisy"},
             "late_weighted": {"weight": "w_late"}}
-    models = {n: MD.fit("logistic_regression", shaped, columns, **kw, **FAST) for n, kw in fits.items()}
+    models = {n: MD.fit("logistic_regression", shaped, columns, **kw) for n, kw in fits.items()}
     scored = RP.score_models(models, test)
     out = None
     for n in fits:
@@ -137,14 +134,14 @@ def label_scheme_comparison(spark, sf):
 
 @query("out_of_fold_auc")
 def out_of_fold_auc(spark, sf):
-    return M.roc_auc(MD.out_of_fold(cut_lineage(prefixes(spark, sf)), "logistic_regression", k=3, **FAST))
+    return M.roc_auc(MD.out_of_fold(cut_lineage(prefixes(spark, sf)), "logistic_regression"))
 
 
 @query("cross_model_transfer")
 def cross_model_transfer(spark, sf):
     """A model trained on one agent, applied to the others, with and without recalibration."""
     rows = cut_lineage(SP.transfer_roles(part_shared_instances(cut_lineage(prefixes(spark, sf))), "m0"))
-    model = MD.fit("logistic_regression", rows.where("role = 'train'"), **FAST)
+    model = MD.fit("logistic_regression", rows.where("role = 'train'"))
     held, target = cut_lineage(model.score(rows.where("role = 'holdout'"))), cut_lineage(
         SA.half(model.score(rows.where("role = 'target'")), "prefix_id"))
     naive = fit_calibrator(held).apply(target)
@@ -160,14 +157,14 @@ def second_source_transfer(spark, sf):
     source, target = p.where("model_name = 'm0'"), cut_lineage(p.where("model_name <> 'm0'"))
     columns = [f"f__{c}" for c in FT.FAMILIES["action_counts"] + FT.FAMILIES["loop_behavior"]]
     loops = [f"f__{c}" for c in FT.FAMILIES["loop_behavior"]]
-    model = MD.fit("logistic_regression", source, columns, **FAST)
-    loop_model = MD.fit("logistic_regression", source, loops, **FAST)
+    model = MD.fit("logistic_regression", source, columns)
+    loop_model = MD.fit("logistic_regression", source, loops)
     aligned = SH.align(source, target.select("prefix_id", *columns), columns)
     naive = loop_model.score(model.score(target, "p_naive"), "p_loop").select(
         "prefix_id", "trajectory_id", "instance_id", "prefix_step", "y_fail", "p_naive", "p_loop")
     scores = cut_lineage(naive.join(model.score(aligned, "p_aligned").select("prefix_id", "p_aligned"), "prefix_id"))
     ens = SH.rank_ensemble(scores, ["p_aligned", "p_loop"])
-    own = MD.out_of_fold(target.select("prefix_id", "instance_id", "y_fail", *columns), "logistic_regression", k=3, out="p_own", **FAST)
+    own = MD.out_of_fold(target.select("prefix_id", "instance_id", "y_fail", *columns), "logistic_regression", out="p_own")
     all_scores = ens.join(own.select("prefix_id", "p_own"), "prefix_id")
     few = cut_lineage(SH.rank_ensemble(all_scores.withColumnRenamed("ensemble", "p_ens"), ["p_ens", "p_own"]))
     out = SH.last_prefix_auc(few, "p_ens").withColumn("variant", F.lit("post_hoc"))
@@ -186,7 +183,7 @@ def matched_budget_monitorability(spark, sf):
         picks = cut_lineage(SA.subsets(own, "instance_id", 40, 2))
         for rep in range(2):
             rows = own.join(picks.where(F.col("rep") == rep), "instance_id", "left_semi")
-            auc = M.roc_auc(MD.out_of_fold(rows, "logistic_regression", k=2, **FAST)).select(
+            auc = M.roc_auc(MD.out_of_fold(rows, "logistic_regression", k=2)).select(
                 F.lit(agent).alias("model_name"), F.lit(rep).alias("rep"), "auc")
             out = auc if out is None else out.unionByName(auc)
     stats = out.groupBy("model_name").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"))
@@ -198,7 +195,7 @@ def regime_comparison(spark, sf):
     """Model for all prefixes against one retrained on late prefixes, both on late prefixes."""
     train, val, test = folds(spark, sf)
     late = F.col("prefix_step") >= 10
-    full, regime = (MD.fit("logistic_regression", rows, **FAST) for rows in (train, train.where(late)))
+    full, regime = (MD.fit("logistic_regression", rows) for rows in (train, train.where(late)))
 
     def calibrated(model, rows_val, rows, out):
         return fit_calibrator(cut_lineage(model.score(rows_val))).apply(model.score(rows, "_raw").withColumnRenamed("_raw", "risk"), out=out).drop("risk")
@@ -208,7 +205,7 @@ def regime_comparison(spark, sf):
     cut = AL.false_alarm_threshold(cut_lineage(fit_calibrator(cut_lineage(full.score(val))).apply(full.score(val)).drop("risk").withColumnRenamed(
         "calibrated", "risk").where(late)), 0.10)
     alerts = AL.first_alert_metrics(rows.withColumnRenamed("p_full", "risk"), cut).drop("threshold")
-    out = attach(RS.paired_auc_delta(rows, "p_full", "p_regime", n_boot=20), alerts)
+    out = attach(RS.paired_auc_delta(rows, "p_full", "p_regime"), alerts)
     everyone = test.groupBy("trajectory_id").agg(F.max("y_fail").alias("y")).agg(
         F.sum("y").alias("all_failed"), F.sum(1 - F.col("y")).alias("all_success"))
     return attach(out, everyone).withColumns({
@@ -220,7 +217,7 @@ def regime_comparison(spark, sf):
 def monitor_verdicts(spark, sf):
     """Score, calibrate, abstain, decide: one verdict per test prefix, alarms under cooldown and budget."""
     rows = cut_lineage(SP.split(cut_lineage(with_recent(spark, sf).drop("risk"))))
-    model = MD.fit("logistic_regression", rows.where("fold = 'train'"), **FAST)
+    model = MD.fit("logistic_regression", rows.where("fold = 'train'"))
     calibrator = fit_calibrator(cut_lineage(model.score(rows.where("fold = 'val'"))))
     scored = cut_lineage(calibrator.apply(model.score(rows.where("fold = 'test'"), "risk")))
     return IV.verdicts(scored, threshold=0.6, min_step=5, conf_floor=0.05)
@@ -234,5 +231,5 @@ def vector_logistic_probe(spark, sf):
 @query("scored_operating_point")
 def scored_operating_point(spark, sf):
     train, val, test = folds(spark, sf)
-    model = MD.fit("logistic_regression", train, **FAST)
+    model = MD.fit("logistic_regression", train)
     return AB.operating_point(cut_lineage(model.score(val)), cut_lineage(model.score(test)))
