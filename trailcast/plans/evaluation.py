@@ -494,7 +494,9 @@ def split_summary(spark, sf):
     return rounded(SP.summary(SP.split(S.risk(spark, sf))))
 
 
-@query("split_overlap_check", RISK + " SELECT count(DISTINCT instance_id) AS n_groups, CAST(0 AS BIGINT) AS n_shared FROM risk")
+@query("split_overlap_check", RISK + "," + folds_sql() + """
+SELECT count(*) AS n_groups, count(*) FILTER (n_folds > 1) AS n_shared
+FROM (SELECT instance_id, count(DISTINCT fold) AS n_folds FROM risk JOIN folds USING (instance_id) GROUP BY 1)""")
 def split_overlap_check(spark, sf):
     return SP.overlap(SP.split(S.risk(spark, sf)))
 

@@ -344,7 +344,7 @@ def prefix_text(spark, sf):
 SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, count(*) AS in_both FROM meta""")
 def feature_table_rebuild_check(spark, sf):
     steps = S.steps(spark, sf)
-    rebuilt = FT.prefix_table(steps, S.runs(steps), features="dynamics", similarity="edit", compression=False)
+    rebuilt = FT.prefix_table(steps, S.runs(steps), features="dynamics")
     return PX.same_prefix_ids(prefix_schedule(spark, sf), rebuilt)
 
 
