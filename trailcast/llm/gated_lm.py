@@ -278,14 +278,24 @@ class Network:
         logits = states @ self.w["class"]
         logits += self.w["class_bias"]
         wanted = self.classes(ids)
-        out = logits[np.arange(len(ids)), wanted] - _log_sum(logits)
+        out = logits[np.arange(len(ids)), wanted] - _log_sum(logits, _reach(self.w["class"].T, self.w["class_bias"]))
+        reach = _reach(self.w["word"], self.w["word_bias"])
         for g, at in _grouped(wanted, self.groups):
             first = g * GROUP
             inner = states[at] @ self.w["word"][first:first + GROUP].T
             inner += self.w["word_bias"][first:first + GROUP]
-            out[at] += inner[np.arange(len(at)), ids[at] - first] - _log_sum(inner)
+            out[at] += inner[np.arange(len(at)), ids[at] - first] - _log_sum(inner, reach)
         return out
 
+    def by_group(self) -> tuple[np.ndarray, np.ndarray]:
+        """Output weights and biases of the model's words by class; a class that is not full ends in impossible words."""
+        missing = self.groups * GROUP - self.words
+        weights, bias = self.w["word"], self.w["word_bias"]
+        if missing:
+            weights = np.concatenate([weights, np.zeros((missing, HIDDEN), np.float32)])
+            bias = np.append(bias, np.full(missing, -np.inf, np.float32))
+        return weights.reshape(self.groups, GROUP, HIDDEN), bias.reshape(self.groups, GROUP)
+
     def gradients(self, ids: np.ndarray, targets: np.ndarray, mask: np.ndarray,
                   state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Gradients of the mean negative log probability over a window, the inputs that they change, the state after it."""
@@ -302,47 +312,74 @@ class Network:
         wanted = self.classes(wanted_ids)
         p[np.arange(len(used)), wanted] -= 1
         p *= scale
-        g = {name: np.zeros_like(x) for name, x in self.w.items() if name != "inputs"}
-        g["class"], g["class_bias"] = flat.T @ p, p.sum(axis=0)
+        g = {"class": flat.T @ p, "class_bias": p.sum(axis=0)}
         d_flat = p @ self.w["class"].T
-        for k, at in _grouped(wanted, self.groups):
-            part = slice(k * GROUP, (k + 1) * GROUP)
-            inner = flat[at] @ self.w["word"][part].T + self.w["word_bias"][part]
-            inner -= inner.max(axis=1, keepdims=True)
-            q = np.exp(inner)
+        # Words inside their classes: targets in order of their class, each with the weights of its class.
+        at = np.argsort(wanted, kind="stable")[:np.count_nonzero(wanted < self.groups)]
+        group, own = wanted[at], flat[at]
+        weights, bias = self.by_group()
+        d_word, d_bias = np.zeros_like(weights), np.zeros_like(bias)
+        if len(at):
+            near = weights[group]
+            q = np.matmul(near, own[:, :, None])[:, :, 0] + bias[group]
+            q -= q.max(axis=1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(at)), wanted_ids[at] - k * GROUP] -= 1
+            q[np.arange(len(at)), wanted_ids[at] - group * GROUP] -= 1
             q *= scale
-            g["word"][part], g["word_bias"][part] = q.T @ flat[at], q.sum(axis=0)
-            d_flat[at] += q @ self.w["word"][part]
+            d_flat[at] += np.matmul(q[:, None, :], near)[:, 0]
+            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(at))
+            for a, b in zip(edges[:-1], edges[1:]):
+                d_word[group[a]] = q[a:b].T @ own[a:b]
+            d_bias[group[edges[:-1]]] = np.add.reduceat(q, edges[:-1], axis=0)
+        g["word"], g["word_bias"] = d_word.reshape(-1, HIDDEN)[:self.words], d_bias.ravel()[:self.words]
         d_states = np.zeros((ids.size, HIDDEN), np.float32)
         d_states[used] = d_flat
         d_states = d_states.reshape(*ids.shape, HIDDEN)
-        d_inputs = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
+        # All that does not depend on later steps is computed for the whole window.
+        before, z, r, inner, new = (np.stack(x) for x in zip(*trace))
+        to_new = (1 - z) * (1 - new * new)
+        to_gates = np.concatenate([(before - new) * z * (1 - z), to_new * inner * r * (1 - r), to_new, to_new * r], axis=2)
+        d_all = np.empty((*ids.shape, 4 * HIDDEN), np.float32)
+        to_gates = to_gates.reshape(*ids.shape, 4, HIDDEN)
         carry = np.zeros_like(state)
-        u = self.w["state"]
+        back = np.concatenate([self.w["state"][:, :2 * HIDDEN], np.zeros((HIDDEN, HIDDEN), np.float32),
+                               self.w["state"][:, 2 * HIDDEN:]], axis=1).T
         for t in range(len(ids) - 1, -1, -1):
-            before, z, r, inner, new = trace[t]
             d = d_states[t] + carry
-            d_new = d * (1 - z) * (1 - new * new)
-            d_gate = np.concatenate([d * (before - new) * z * (1 - z), d_new * inner * r * (1 - r), d_new], axis=1)
-            d_inputs[t] = d_gate
-            d_gate[:, 2 * HIDDEN:] *= r
-            g["state"] += before.T @ d_gate
-            carry = d * z + d_gate @ u.T
+            np.multiply(to_gates[t], d[:, None, :], out=d_all[t].reshape(-1, 4, HIDDEN))
+            carry = d_all[t] @ back
+            d *= z[t]
+            carry += d
+        flat_all = d_all.reshape(-1, 4 * HIDDEN)
+        d_inputs = flat_all[:, :3 * HIDDEN]
+        to_state = before.reshape(-1, HIDDEN).T @ flat_all
+        g["state"] = np.concatenate([to_state[:, :2 * HIDDEN], to_state[:, 3 * HIDDEN:]], axis=1)
         # Of the input table only the rows that occur.
         order = np.argsort(ids, axis=None, kind="stable")
         rows = ids.ravel()[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        g["inputs"] = np.add.reduceat(d_inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        g["inputs"] = np.add.reduceat(d_inputs[order], first, axis=0)
         return g, rows[first], after
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
+#: Logits within this reach of 0 keep the sum of their powers of e inside float32.
+SAFE = 60.0
+
+
+def _reach(weights: np.ndarray, bias: np.ndarray) -> float:
+    """The largest size of a logit: states lie between -1 and 1."""
+    return float((np.abs(weights).sum(axis=1) + np.abs(bias)).max(initial=0.0))
+
+
+def _log_sum(logits: np.ndarray, reach: float) -> np.ndarray:
+    """Log of the sum of exp of each row; rows are shifted by their largest value only if exp could overflow."""
+    ones = np.ones(logits.shape[1], np.float32)
+    if reach < SAFE:
+        return np.log(np.exp(logits) @ ones)
     top = logits.max(axis=1)
     logits = logits - top[:, None]
-    np.exp(logits, out=logits)
-    return top + np.log(logits.sum(axis=1))
+    return top + np.log(np.exp(logits, out=logits) @ ones)
 
 
 def _grouped(wanted: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
