@@ -66,7 +66,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     kind = file_format(path)
     writer = df.write.mode(mode).partitionBy(*(partition_by or []))
     if kind == "csv":
-        writer = writer.option("header", "true").option("escape", '"')
+        writer = writer.option("header", "true").option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     if kind == "json":
         writer = writer.option("ignoreNullFields", "false")
     writer.format(kind).save(path)
