@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailcast.operators.ordering import attach, running_total
 from trailcast.operators.sampling import shuffled
 from trailcast.operators.scan import RunScan, running_sum
 
-# Repeats of one action type that count as trouble, and as a loop to interrupt.
-TROUBLE_STREAK = 5
-LOOP_STREAK = 4
+# Rules over prefix features. A rule holds when any of its lines does.
+TROUBLE = [
+    "max_command_repeat_count >= 3",
+    "same_action_type_streak >= 5",
+    "repeated_exact_command_last_3 > 0",
+    "n_test_runs >= 2 and tests_worsening > 0",
+    "n_test_runs >= 2 and last_test_fail_count > 0",
+    "n_tracebacks_seen >= 2",
+    "edited_file_never_read_count >= 1 and n_edit >= 2",
+]
+# Drift rules, of which the share that holds is the score.
+DRIFT = [
+    "edited_before_any_read > 0",
+    "repeated_exact_command_last_3 > 0",
+    "patch_growth_without_test_improvement > 0",
+    "n_test_runs >= 2 and tests_worsening > 0",
+    "edited_file_never_read_count > 0",
+]
+# Rules of the failure modes; the first mode whose rule holds is given.
+MODE_RULES = {
+    "looping": ["max_command_repeat_count >= 3", "repeated_exact_command_last_3 > 0", "same_action_type_streak >= 5"],
+    "patch_churn": ["tests_worsening > 0", "same_test_command_repeated >= 2"],
+    "insufficient_context": ["edited_before_any_read > 0", "edited_file_never_read_count > 0"],
+    "test_neglect": ["n_edit > 0 and n_test_runs = 0"],
+    "submission_too_early": ["n_submit > 0 and n_edit = 0"],
+    "environment_distraction": ["n_install >= 2", "n_environment >= n_edit + n_read + 1"],
+    "wrong_file": ["n_unique_files_edited >= 1 and n_unique_files_read = 0"],
+}
+NO_MODE = "not_observable"
+# Names of the modes.
 FAILURE_MODES = [
     "insufficient_context", "wrong_file", "test_neglect", "looping",
     "patch_churn", "environment_distraction", "submission_too_early", "not_observable",
 ]
+_COMPARE = {">": operator.gt, ">=": operator.ge, "=": operator.eq}
 
 
 def feature(df: DataFrame, name: str, default: float = 0.0) -> Column:
@@ -33,16 +64,26 @@ def to_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: feature(df, c) for c in columns})
 
 
+def _conditions(line: str) -> list[tuple[str, str, list[str]]]:
+    """(feature, comparison, summands of the bound) of each condition of a rule line."""
+    parts = [c.split(None, 2) for c in line.split(" and ")]
+    return [(name, compare, bound.split(" + ")) for name, compare, bound in parts]
+
+
+def holds(df: DataFrame, rule: list[str]) -> Column:
+    """Whether any line of a rule holds; features that are missing are 0."""
+    def term(x: str) -> Column:
+        return F.lit(float(x)) if x.isdigit() else feature(df, x)
+
+    lines = [reduce(operator.and_, [
+        _COMPARE[compare](feature(df, name), reduce(operator.add, map(term, bound)))
+        for name, compare, bound in _conditions(line)]) for line in rule]
+    return reduce(operator.or_, lines)
+
+
 def trouble(df: DataFrame) -> Column:
     """Whether the prefix visibly is in trouble."""
-    def g(name: str) -> Column:
-        return feature(df, name)
-
-    loop = ((g("max_command_repeat_count") >= 3) | (g("same_action_type_streak") >= TROUBLE_STREAK)
-            | (g("repeated_exact_command_last_3") > 0))
-    tests = (g("n_test_runs") >= 2) & ((g("tests_worsening") > 0) | (g("last_test_fail_count") > 0))
-    blind = (g("edited_file_never_read_count") >= 1) & (g("n_edit") >= 2)
-    return loop | tests | (g("n_tracebacks_seen") >= 2) | blind
+    return holds(df, TROUBLE)
 
 
 def shaped_labels(df: DataFrame, low: float = 0.3) -> DataFrame:
@@ -106,42 +147,16 @@ def rule_score(df: DataFrame, skip_missing: bool = False) -> Column:
     Rules whose columns are missing count as false; with ``skip_missing`` they leave
     the denominator instead.
     """
-    names = set(df.columns)
-
-    def has(*wanted: str) -> bool:
-        return all(f"f__{w}" in names or w in names for w in wanted)
-
-    rules = [
-        (feature(df, "edited_before_any_read") > 0, has("edited_before_any_read")),
-        (feature(df, "repeated_exact_command_last_3") > 0, has("repeated_exact_command_last_3")),
-        (feature(df, "patch_growth_without_test_improvement") > 0, has("patch_growth_without_test_improvement")),
-        ((feature(df, "n_test_runs") >= 2) & (feature(df, "tests_worsening") > 0),
-         has("n_test_runs", "tests_worsening")),
-        (feature(df, "edited_file_never_read_count") > 0, has("edited_file_never_read_count")),
-    ]
-    used = [r for r, there in rules if there or not skip_missing]
-    total = F.lit(0)
-    for r in used:
-        total = total + r.cast("int")
-    return total / F.lit(float(max(1, len(used))))
+    names = {c.removeprefix("f__") for c in df.columns}
+    used = [line for line in DRIFT
+            if not skip_missing or names.issuperset(name for name, _, _ in _conditions(line))]
+    counted = reduce(operator.add, [holds(df, [line]).cast("int") for line in used], F.lit(0))
+    return counted / F.lit(float(max(1, len(used))))
 
 
 def failure_mode(df: DataFrame) -> Column:
     """First matching mode of the taxonomy."""
-    def g(name: str) -> Column:
-        return feature(df, name)
-
-    return (
-        F.when((g("max_command_repeat_count") >= 3) | (g("repeated_exact_command_last_3") > 0)
-               | (g("same_action_type_streak") >= TROUBLE_STREAK), "looping")
-        .when((g("tests_worsening") > 0) | (g("same_test_command_repeated") >= 2), "patch_churn")
-        .when((g("edited_before_any_read") > 0) | (g("edited_file_never_read_count") > 0), "insufficient_context")
-        .when((g("n_edit") > 0) & (g("n_test_runs") == 0), "test_neglect")
-        .when((g("n_submit") > 0) & (g("n_edit") == 0), "submission_too_early")
-        .when((g("n_install") >= 2) | (g("n_environment") >= g("n_edit") + g("n_read") + 1),
-              "environment_distraction")
-        .when((g("n_unique_files_edited") >= 1) & (g("n_unique_files_read") == 0), "wrong_file")
-        .otherwise("not_observable"))
+    return F.coalesce(*[F.when(holds(df, rule), F.lit(mode)) for mode, rule in MODE_RULES.items()], F.lit(NO_MODE))
 
 
 def shuffled_labels(df: DataFrame, label: str = "y_fail", key: str = "prefix_id", seed: int = 42) -> DataFrame:
