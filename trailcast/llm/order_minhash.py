@@ -2,8 +2,8 @@
 
 Texts with the same words collapse first. Each remaining text has SKETCHES sketches: the two
 smallest occurrence-labelled k-mers (words) under one hash, in text order. Texts that share a
-sketch meet the smallest row of that bucket, and the smallest row of the finer bucket of two
-adjacent sketches; candidate pairs are aligned in numpy, many at a time, in a band that widens up
+sketch meet the smallest row of that bucket, and then all rows of it that are not yet in their
+class; candidate pairs are aligned in numpy, many at a time, in a band that widens up
 to the largest distance that still counts. Linked texts form classes.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trailcast.llm import common
@@ -29,6 +30,8 @@ SHORT = 32
 BAND = 8
 #: Words of the pairs that are aligned at once.
 ALIGN_WORDS = 1 << 18
+#: Rows of a bucket that meet in one tile, about; hash buckets of the bags that rule pairs out.
+TILE, BAG = 256, 128
 
 _SEEDS = common.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -201,31 +204,114 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return (len(x) + len(y) - int(np.abs(np.add.reduceat(side, start)).sum())) // 2 if len(start) else 0
 
 
+def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words of each text (row, text) fall into each of BAG hash buckets; null where a count could overflow."""
+    for batch in batches:
+        data, offsets = common.buffers(batch.column(1))
+        bags: list[bytes | None] = []
+        for start, end in common.pieces(offsets):
+            part = data[offsets[start]:offsets[end]]
+            starts, ends, bounds = common.word_bounds(part, offsets[start:end + 1] - offsets[start])
+            places = (common.word_hashes(part, starts, ends) % np.uint64(BAG)).astype(np.int64)
+            for x, y in zip(bounds[:-1], bounds[1:]):
+                bags.append(np.bincount(places[x:y], minlength=BAG).astype(np.uint16).tobytes() if y - x < 1 << 16 else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], ["row", "bag"])
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, bag_a, bag_b) whose bags do not already rule a link out: words in common are at most those of the bags."""
+    for batch in batches:
+        good = np.ones(batch.num_rows, bool)
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        known = np.array([x is not None and y is not None for x, y in zip(left, right)], bool)
+        at = np.flatnonzero(known)
+        if len(at):
+            x, y = (np.frombuffer(b"".join(side[k] for k in at), np.uint16).reshape(-1, BAG) for side in (left, right))
+            n, m = x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64)
+            good[at] = np.maximum(n, m) - np.minimum(x, y).sum(axis=1, dtype=np.int64) <= allowed(n, m)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles (left, right: lists of row, n, component; right null for a block with itself) to pairs of unlike components."""
+    for batch in batches:
+        sides = []
+        for column in (0, 1):
+            lists = batch.column(column)
+            flat = lists.flatten()
+            ends = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+            sides.append((ends, *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))))
+        alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        found = [np.zeros((0, 2), np.int64)]
+        waiting = 0
+        for k in range(batch.num_rows):
+            one, two = sides[0], sides[0 if alone[k] else 1]
+            x, y = slice(one[0][k], one[0][k + 1]), slice(two[0][k], two[0][k + 1])
+            n, m = one[2][x].astype(np.int64)[:, None], two[2][y].astype(np.int64)[None, :]
+            good = (one[3][x][:, None] != two[3][y][None, :]) & (np.abs(n - m) <= allowed(n, m))
+            if alone[k]:
+                good = np.triu(good, 1)
+            i, j = np.nonzero(good)
+            a, b = one[1][x][i], two[1][y][j]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            waiting += len(i)
+            if waiting > 1 << 20:
+                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links of candidate pairs. Bags rule out most strangers first; texts move only once they take part in a pair."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    bags = common.write_table(rows.join(named, "row", "left_semi").mapInArrow(_bag, "row long, bag binary"))
+    pairs = common.write_table(pairs.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").select(
+        "a", "b", "bag_a", "bag_b").mapInArrow(_plausible, "a long, b long"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = common.write_table(rows.join(named, "row", "left_semi"))
+    left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
+    return common.write_table(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
+        _verify, "a long, b long, distance long"))
+
+
 def links(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Verified links (a < b, distance) between those rows of (row, text) that ``heads`` (row) names.
+    """Verified links (a < b, distance) between those rows of (row, text) that ``heads`` (row) names, enough for their classes.
 
-    Every row is compared with the representatives of all its buckets: no bucket is capped and no
-    group is paired with itself. Texts move only once they take part in a pair.
+    Every row is compared with the smallest row of each of its buckets. What these links leave
+    apart in a bucket is then compared row by row: pairs of one bucket are left out only if they are
+    in one class already, or if lengths or bags of words rule a link out. Large buckets are cut into
+    tiles; pairs inside a tile are made in numpy.
     """
     keyed = rows.mapInArrow(_sketch, "row long, n int, keys array<long>")
     keyed = common.write_table(keyed.join(heads, "row", "left_semi"))
-    buckets = keyed.select("row", "n", F.explode(F.expr(
-        "transform(sequence(0, size(keys) - 1), i -> named_struct('one', xxhash64(i, keys[i]), "
-        "'two', xxhash64(i, keys[i], keys[IF(i % {0} = {0} - 1, i - {0} + 1, i + 1)])))".format(SKETCHES))).alias("k"))
-    keys = buckets.select("row", "n", F.explode(F.array("k.one", "k.two")).alias("key"))
+    keys = keyed.select("row", "n", F.explode(F.expr("transform(keys, (k, i) -> xxhash64(i, k))")).alias("key"))
     first = common.write_table(keys.groupBy("key").agg(
-        F.min("row").alias("head"), F.min_by("n", "row").alias("head_n"), F.count(F.lit(1)).alias("size")).where(
-        "size > 1").select("key", "head", "head_n"))
-    pairs = keys.join(first, "key").where(
-        (F.col("row") != F.col("head")) &
-        (F.abs(F.col("n") - F.col("head_n")) <= F.floor(F.greatest("n", "head_n") * F.lit(1 - SIMILARITY) + 1e-9)))
-    pairs = common.write_table(pairs.select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = common.write_table(rows.join(named, "row", "left_semi"))
-    left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        _verify, "a long, b long, distance long")
+        F.min("row").alias("head"), F.min_by("n", "row").alias("head_n"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = common.write_table(keys.join(first, "key"))
+    near = (F.col("row") != F.col("head")) & (
+        F.abs(F.col("n") - F.col("head_n")) <= F.floor(F.greatest("n", "head_n") * F.lit(1 - SIMILARITY) + 1e-9))
+    pairs = common.write_table(shared.where(near).select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
+    linked = _verified(rows, pairs)
+    member = shared.join(components(linked).withColumnRenamed("node", "row"), "row", "left").select(
+        "key", "row", "n", "size", F.coalesce("component", "row").alias("component"))
+    member = common.write_table(member)
+    mixed = common.write_table(member.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    blocks = member.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / TILE)).withColumn(
+        "block", F.pmod(F.xxhash64("row"), F.col("blocks"))).groupBy("key", "blocks", "block").agg(
+        F.collect_list(F.struct("row", "n", "component")).alias("part"))
+    blocks = common.write_table(blocks)
+    # Each block meets itself and every later block of its bucket.
+    tiles = blocks.select("key", "block", "part", F.explode(F.expr(
+        "transform(sequence(0L, blocks - 1), x -> named_struct('low', least(x, block), 'high', greatest(x, block)))")).alias("at"))
+    tiles = tiles.groupBy("key", "at").agg(
+        F.first(F.when(F.col("block") == F.col("at.low"), F.col("part")), ignorenulls=True).alias("left"),
+        F.first(F.when((F.col("block") == F.col("at.high")) & (F.col("at.low") < F.col("at.high")), F.col("part")), ignorenulls=True).alias("right"))
+    rest = tiles.where("left is not null and (right is not null or at.low = at.high)").select("left", "right").mapInArrow(
+        _across, "a long, b long").distinct()
+    rest = common.write_table(rest.join(pairs, ["a", "b"], "left_anti"))
+    return linked.unionByName(_verified(rows, rest))
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
