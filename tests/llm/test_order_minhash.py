@@ -52,3 +52,17 @@ def test_pairs_over_one_shared_passage_meet(spark, monkeypatch):
     assert found(spark, texts) == want
     monkeypatch.setattr(order_minhash, "TILE", 3)  # several tiles a bucket
     assert found(spark, texts) == want
+
+
+def test_scattered_edits_near_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 with single words replaced at random places, short texts too."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(120):
+        n = (10, 20, 33, 60, 100, 150)[k % 6]
+        words = [f"w{rng.randint(0, 99999)}" for _ in range(n)]
+        edits = rng.sample(range(n), int(n * (0.2, 0.18, 0.15)[k % 3]))
+        texts += [words, [f"e{rng.randint(0, 99999)}" if i in edits else w for i, w in enumerate(words)]]
+    want = brute_force(texts)
+    assert len(set(want)) == 120
+    assert found(spark, texts) == want

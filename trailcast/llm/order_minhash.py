@@ -1,7 +1,7 @@
 """Near-duplicate documents by order min-hash, verified by banded alignment.
 
-Texts with the same words collapse first. Each remaining text has SKETCHES sketches: the two
-smallest occurrence-labelled k-mers (words) under one hash, in text order. Texts that share a
+Texts with the same words collapse first. Each remaining text has sketches, as many as the miss
+chance at the least similarity asks for: the two smallest occurrence-labelled k-mers (words) under one hash, in text order. Texts that share a
 sketch meet the smallest row of that bucket, and then all rows of it that are not yet in their
 class; candidate pairs are aligned in numpy, many at a time, in a band that widens up
 to the largest distance that still counts. Linked texts form classes.
@@ -9,6 +9,7 @@ to the largest distance that still counts. Linked texts form classes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from trailcast.llm import common
 from trailcast.llm.components import components
 
-#: Words of a k-mer and least similarity (1 - word edit distance / longer length).
-KMER = 5
+#: Least similarity (1 - word edit distance / longer length) of a link.
 SIMILARITY = 0.8
-#: Sketches of a text; each holds the two smallest labelled k-mers.
-SKETCHES = 40
-#: Texts of fewer words also get sketches of k-mers of two words: one edit spoils most longer ones.
-SHORT = 32
+#: Chance that two texts of that similarity share no sketch, if single words differ at random places.
+MISS = 1e-5
+#: Words of a k-mer; shorter k-mers that texts of fewer words than given get besides, as an edit spoils most longer ones.
+KMER, SHORTER = 3, ((2, 64), (1, 12))
+
+
+def sketch_count(size: int) -> int:
+    """Sketches of k-mers of ``size`` words that keep the miss chance: both k-mers of a sketch have to agree."""
+    kept = SIMILARITY ** size
+    return math.ceil(math.log(MISS) / math.log1p(-(kept / (2 - kept)) ** 2))
+
+
 #: First width of the alignment band (cells to either side); it doubles up to the limit.
 BAND = 8
 #: Words of the pairs that are aligned at once.
@@ -33,7 +41,7 @@ ALIGN_WORDS = 1 << 18
 #: Rows of a bucket that meet in one tile, about; hash buckets of the bags that rule pairs out.
 TILE, BAG = 256, 128
 
-_SEEDS = common.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SEEDS = common.mix(np.arange(1, sketch_count(KMER) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def labelled_kmers(words: np.ndarray, size: int) -> np.ndarray:
@@ -48,12 +56,12 @@ def labelled_kmers(words: np.ndarray, size: int) -> np.ndarray:
     return common.mix(kmers + occurrence * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def sketches(kmers: np.ndarray) -> np.ndarray:
+def sketches(kmers: np.ndarray, count: int) -> np.ndarray:
     """One 64-bit value a sketch: the two smallest k-mers in text order (the only one, if there is one)."""
-    out = np.empty(SKETCHES, np.uint64)
+    out = np.empty(count, np.uint64)
     step = max(1, (1 << 16) // max(1, len(kmers)))
-    for a in range(0, SKETCHES, step):
-        seeds = _SEEDS[a:a + step]
+    for a in range(0, count, step):
+        seeds = _SEEDS[a:min(a + step, count)]
         value = kmers[None, :] * seeds[:, None]
         value ^= value >> np.uint64(31)
         value *= np.uint64(0xBF58476D1CE4E5B9)
@@ -83,9 +91,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = hashes[bounds[k]:bounds[k + 1]]
                 if not len(words):
                     continue
-                found = [sketches(labelled_kmers(words, KMER))]
-                if len(words) < SHORT:
-                    found.append(sketches(labelled_kmers(words, 2)) ^ np.uint64(0x5555555555555555))
+                sizes = [KMER, *(size for size, below in SHORTER if len(words) < below)]
+                found = [sketches(labelled_kmers(words, size), sketch_count(size)) for size in sizes]
                 rows.append(ids[start + k])
                 lengths.append(len(words))
                 keys.append(np.concatenate(found).view(np.int64))
