@@ -28,8 +28,8 @@ LEXICON = 1 << 17
 #: Words with an own output; words of one output class; classes of all other words.
 MODEL_WORDS, GROUP, TAIL_CLASSES = 1024, 32, 64
 HIDDEN = 32
-#: Rounds of averaging, and the share 1/PASSES of the training documents that each round walks through.
-ROUNDS, PASSES = 4, 32
+#: Rounds of averaging; the rounds together walk once through all training documents.
+ROUNDS = 4
 #: Documents side by side and steps of a window of truncated backpropagation; Adagrad's rate.
 STREAMS, STEPS, RATE = 16, 24, 0.08
 #: Documents side by side and tokens of a window while scoring; bytes of text scored at once.
@@ -478,18 +478,19 @@ def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
                                       pa.array([squares.tobytes()], pa.binary())], ["n", "weights", "squares"])
 
 
-def fit(training: DataFrame, counts: Counts, passes: int = PASSES, rounds: int = ROUNDS) -> Network:
+def fit(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
     """Average, over tasks and in rounds, of networks trained on disjoint shares of the documents.
 
-    What a round reads is a share of all training documents, so it grows with them. Sums of weights
-    are added up by Spark before they reach the driver.
+    Each document of (doc_id, text) is in the share of one round, by its doc_id (without one, by its
+    text), so copies of a text spread over the rounds. Sums of weights are added up by Spark before
+    they reach the driver.
     """
     network = Network.start(counts)
     squares = {k: np.full_like(v, 1e-4) for k, v in network.w.items()}
     spark = training.sparkSession
     schema = "n long, weights binary, squares binary"
-    turn = F.pmod(F.xxhash64("text"), F.lit(passes))
-    for k in range(min(rounds, passes)):
+    turn = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(rounds))
+    for k in range(rounds):
         shared = spark.sparkContext.broadcast((counts, network.w, squares))
         parts = training.where(turn == k).select("text").mapInArrow(_train(shared), schema)
         adders = max(1, math.isqrt(parts.rdd.getNumPartitions()))
