@@ -180,11 +180,13 @@ def matched_budget_monitorability(spark, sf):
     out = None
     for agent in [r.model_name for r in p.select("model_name").distinct().orderBy("model_name").collect()]:  # agents are few
         own = p.where(F.col("model_name") == agent)
-        picks = cut_lineage(SA.subsets(own, "instance_id", 40, 2))
-        for rep in range(2):
-            rows = own.join(picks.where(F.col("rep") == rep), "instance_id", "left_semi")
-            auc = M.roc_auc(MD.out_of_fold(rows, "logistic_regression", k=2)).select(
-                F.lit(agent).alias("model_name"), F.lit(rep).alias("rep"), "auc")
+        picks = cut_lineage(SA.subsets(own, "instance_id", 60, 20))
+        for rep in range(20):
+            rows = cut_lineage(own.join(picks.where(F.col("rep") == rep), "instance_id", "left_semi"))
+            if rows.select("y_fail").distinct().count() < 2:
+                continue  # no AUC, as in the reference
+            auc = cut_lineage(M.roc_auc(MD.out_of_fold(rows, "gradient_boosting", k=5)).select(
+                F.lit(agent).alias("model_name"), F.lit(rep).alias("rep"), "auc"))
             out = auc if out is None else out.unionByName(auc)
     stats = out.groupBy("model_name").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"))
     return stats.join(run_success_rate(p, ["model_name"]), "model_name")
