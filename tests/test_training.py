@@ -21,3 +21,13 @@ def test_matched_budget_uses_the_full_resampling(spark, monkeypatch):
     monkeypatch.setattr(training, "run_success_rate", lambda p, by: p.select(*by).distinct())
     training.matched_budget_monitorability(spark, "")
     assert calls == [(60, "gradient_boosting", 5)] * 20
+
+
+def test_ablation_has_the_text_family_and_the_boosted_model(spark, sf_dir, monkeypatch):
+    calls = []
+    monkeypatch.setattr(training.RP, "ablation_table", lambda *a, **kw: calls.append((a, kw)))
+    training.feature_ablation_table(spark, sf_dir)
+    (train, _, _, families, *rest), settings = calls[0]
+    assert len(families) == 9 and ["all_structured_plus_text"] in families
+    assert training.MD.TEXT_COLUMN in train.columns
+    assert not rest and not settings

@@ -57,9 +57,10 @@ def model_comparison_table(spark, sf):
 
 @query("feature_ablation_table")
 def feature_ablation_table(spark, sf):
-    train, val, test = folds(spark, sf)
-    families = [[f] for f in FT.FAMILIES] + [["all_structured"]]
-    return RP.ablation_table(train, val, test, families, "logistic_regression")
+    steps = S.steps(spark, sf)
+    train, val, test = folds(spark, sf, FT.prefix_table(steps, S.runs(steps), text=True))
+    families = [[f] for f in FT.FAMILIES] + [["all_structured"], ["all_structured_plus_text"]]
+    return RP.ablation_table(train, val, test, families)
 
 
 @query("shuffled_label_auc")
