@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -14,11 +15,22 @@ OUTPUT = ("trajectory_id string, prefix_step bigint, risk double, abstain bigint
           "alarm bigint, n_alarms bigint")
 
 
+def mark(seen: list[int], step: int) -> bool:
+    """Add a step to ascending ranges (first, last, first, last, ...); False if it is in one already."""
+    at = bisect_right(seen, step)
+    if at % 2 or (at and seen[at - 1] == step):
+        return False
+    joins_left, joins_right = at > 0 and seen[at - 1] == step - 1, at < len(seen) and seen[at] == step + 1
+    seen[at - joins_left:at + joins_right] = [] if joins_left and joins_right else [step] if joins_left or joins_right else [step, step]
+    return True
+
+
 class AlertPolicy(StatefulProcessor):
-    """Step floor, confidence floor, cooldown and budget; remembers the last alarm and their number.
+    """Step floor, confidence floor, cooldown and budget; remembers judged steps and alarms.
 
-    Steps are judged in the order they come; within a batch they are sorted. A step at or
-    before the last judged one is a repeat and is dropped.
+    Steps are judged in the order they come; within a batch they are sorted. Judged step numbers are
+    kept as ranges: a step inside one is a repeat and is dropped, a late step in a gap gets its verdict
+    from the alarms so far. The cooldown holds to both sides of every alarm.
     """
 
     def __init__(self, threshold: float, min_step: int = 5, conf_floor: float = 0.0, cooldown: int = 5,
@@ -27,23 +39,24 @@ class AlertPolicy(StatefulProcessor):
         self.cooldown, self.budget, self.shadow, self.ttl_ms = cooldown, budget, shadow, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("policy", "step bigint, last_alarm bigint, n bigint", self.ttl_ms)
+        self.state = handle.getValueState("policy", "seen array<bigint>, alarms array<bigint>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        step, last, n = self.state.get() if self.state.exists() else (0, None, 0)
+        seen, alarms = map(list, self.state.get()) if self.state.exists() else ([], [])
+        # seen: first and last step of each judged range, ascending
         out = []
         for r in sorted(rows, key=lambda x: x.prefix_step):
-            if r.prefix_step <= step:
-                continue
             step = r.prefix_step
+            if not mark(seen, step):
+                continue
             committed = step >= self.min_step and abs(r.risk - 0.5) >= self.conf_floor
-            rested = last is None or step - last >= self.cooldown
-            would = committed and r.risk >= self.threshold and rested and n < self.budget
+            rested = all(abs(step - a) >= self.cooldown for a in alarms)
+            would = committed and r.risk >= self.threshold and rested and len(alarms) < self.budget
             if would:
-                last, n = step, n + 1
+                alarms.append(step)
             out.append(Row(trajectory_id=key[0], prefix_step=step, risk=r.risk, abstain=int(not committed),
-                           would_alarm=int(would), alarm=int(would and not self.shadow), n_alarms=n))
-        self.state.update((step, last, n))
+                           would_alarm=int(would), alarm=int(would and not self.shadow), n_alarms=len(alarms)))
+        self.state.update((seen, alarms))
         return iter(out)
 
     def close(self) -> None:
