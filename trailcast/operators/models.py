@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +24,7 @@ from trailcast.session import reuse
 LOGISTIC_ITERATIONS = 2000
 FOREST_TREES = 300
 FOREST_LEAF = 5
+FOREST_DEPTH = 30  # the most that pyspark.ml allows
 BOOST_ROUNDS = 300
 BOOST_RATE = 0.08
 
@@ -91,29 +92,28 @@ def logistic_pipeline(columns: list[str], n_rows: int, iterations: int = LOGISTI
 
 def forest_pipeline(columns: list[str], n_rows: int, trees: int = FOREST_TREES, seed: int = 42, **_) -> Pipeline:
     forest = RandomForestClassifier(labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=FOREST_LEAF,
-                                    maxDepth=12, seed=seed)
+                                    maxDepth=FOREST_DEPTH, seed=seed)
     return Pipeline(stages=[*_assemble(columns, False), forest])
 
 
 def boosted_pipeline(columns: list[str], n_rows: int, rounds: int = BOOST_ROUNDS, seed: int = 42, **_) -> Pipeline:
     boost = GBTClassifier(labelCol="_y", weightCol="_w", maxIter=rounds, stepSize=BOOST_RATE, maxBins=255, maxDepth=5,
-                          subsamplingRate=0.8, seed=seed)
+                          subsamplingRate=1.0, seed=seed)
     return Pipeline(stages=[*_assemble(columns, False), boost])
 
 
 def text_pipeline(columns: list[str], n_rows: int, iterations: int = LOGISTIC_ITERATIONS,
-                  vocabulary: int = 50_000, **_) -> Pipeline:
-    """Numbers next to one- and two-word TF-IDF of the prefix text."""
+                  vocabulary: int = 100_000, **_) -> Pipeline:
+    """Numbers next to TF-IDF of the prefix text over its most frequent words and word pairs together."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=columns, outputCol="raw_features"),
         StandardScaler(withMean=True, withStd=True, inputCol="raw_features", outputCol="numbers"),
         RegexTokenizer(inputCol=TEXT_COLUMN, outputCol="words", pattern=r"\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="words", outputCol="pairs"),
-        CountVectorizer(inputCol="words", outputCol="word_counts", minDF=2.0, vocabSize=vocabulary // 2),
-        CountVectorizer(inputCol="pairs", outputCol="pair_counts", minDF=2.0, vocabSize=vocabulary // 2),
-        IDF(inputCol="word_counts", outputCol="word_weights"),
-        IDF(inputCol="pair_counts", outputCol="pair_weights"),
-        VectorAssembler(inputCols=["numbers", "word_weights", "pair_weights"], outputCol="features"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+        CountVectorizer(inputCol="terms", outputCol="term_counts", minDF=2.0, vocabSize=vocabulary),
+        IDF(inputCol="term_counts", outputCol="term_weights"),
+        VectorAssembler(inputCols=["numbers", "term_weights"], outputCol="features"),
         _logistic(n_rows, iterations)])
 
 
