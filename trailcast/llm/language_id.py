@@ -166,9 +166,9 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
     return said.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows whose language the model, fitted on the labelled rows, can tell."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows with a predicted language, however unsure, by the model fitted on the labelled rows."""
     model = fit(docs)
     said = identify(docs.withColumn("_in_text", F.col("text")).select(F.struct(*docs.columns).alias("_in"), "_in_text"),
                     model, "_in_text")
-    return said.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_in.*")
+    return said.where(F.col("lang_pred") != UNKNOWN).select("_in.*")
