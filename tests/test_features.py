@@ -3,7 +3,7 @@
 import itertools
 
 import pytest
-from conftest import make_steps
+from step_tables import make_steps
 from pyspark.sql import functions as F
 
 from trailcast.operators import features as FT
