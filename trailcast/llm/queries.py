@@ -155,3 +155,82 @@ def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trailcast.llm import gated_lm
 
     return gated_lm.score_held_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_digest_merge", """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW best AS (PARTITION BY t ORDER BY doc_id DESC NULLS LAST)
+""")
+def digest_merge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+    from trailcast.llm import digest_merge
+
+    return digest_merge.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _tree_sql(name: str, leaves: str, depth: int) -> str:
+    """CTEs of a tree over (grp, pos, n, digest): one for each level, siblings included."""
+    out = []
+    for k in range(depth):
+        source = leaves if k == 0 else (
+            f"(SELECT grp, pos // 16 AS pos, (n + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest "
+            f"FROM {name}{k - 1} WHERE n > 1 GROUP BY ALL)")
+        out.append(f"""{name}{k} AS (
+  SELECT *, coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {source} WINDOW run AS (PARTITION BY grp, pos // 16 ORDER BY pos))""")
+    tops = " UNION ALL ".join(f"SELECT grp, digest FROM {name}{k} WHERE n = 1" for k in range(depth))
+    return ",\n".join([*out, f"{name}_top AS ({tops})"])
+
+
+def _merkle_sql(documents: int = 4, sources: int = 3) -> str:
+    """Twin for at most 16**(documents - 1) rows a source and 16**(sources - 1) sources."""
+    joins, proof, fold = [], [], "coalesce(d.changed, d.digest)"
+    levels = [("d", k, "d.grp", "d.pos") for k in range(documents)] + [("s", k, "''", "s.pos") for k in range(sources)]
+    for name, k, grp, pos in levels:
+        alias = f"{name}_{k}"
+        if name == "s" and k == 0:
+            joins.append("JOIN s0 s ON s.name = d.grp")
+        joins.append(f"LEFT JOIN {name}{k} {alias} ON {alias}.n > 1 AND {alias}.grp = {grp} AND {alias}.pos = {pos} // {16 ** k}")
+        proof.append(f"coalesce({alias}.l || {alias}.r, '')")
+    names = [f"{name}_{k}" for name, k, _, _ in levels]
+    steps = []
+    for i in range(len(names)):
+        l, r = f"l{i}", f"r{i}"
+        steps.append(f"f{i + 1} AS (SELECT *, CASE WHEN {l} IS NULL THEN acc{i} ELSE sha256({l} || acc{i} || {r}) END AS acc{i + 1} FROM f{i})")
+    sides = ", ".join(f"{a}.l AS l{i}, {a}.r AS r{i}" for i, a in enumerate(names))
+    return f"""
+WITH raw AS (
+  SELECT *, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS lowered,
+    coalesce('=' || source, '') AS grp FROM documents),
+part AS (
+  SELECT *, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head FROM raw),
+leaves AS (
+  SELECT grp, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS digest,
+         sha256(head || strlen(lowered) || ':' || lowered) AS changed FROM part),
+{_tree_sql("d", "(SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves)", documents)},
+{_tree_sql("s", "(SELECT '' AS grp, grp AS name, digest, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM d_top)", sources)},
+f0 AS (
+  SELECT d.doc_id, d.digest AS leaf, s.digest AS subroot, (SELECT digest FROM s_top) AS root,
+         sha256({" || ".join(proof)}) AS proof_sha256, {fold} AS acc0, {sides}
+  FROM d0 d {" ".join(joins)}),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, acc{len(names)} AS folded_root, acc{len(names)} = root AS verified FROM f{len(names)}
+"""
+
+
+@query("op11_merkle", _merkle_sql())
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+    from trailcast.llm import merkle
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(docs, tampered, merkle.lower_ascii(F.col("text"))).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
