@@ -58,6 +58,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)  # all columns nullable
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         numbers = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "key", "n_bytes")]
