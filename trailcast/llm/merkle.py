@@ -47,8 +47,9 @@ def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     sizes = ranged.groupBy("grp", "range").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
     whole = Window.partitionBy("grp")  # at most as many rows a group as there are ranges
     before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("grp", "range", "first", F.sum("rows").over(whole).alias("n"),
-                          F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    # Written, so that the join below is dealt by both keys and not by the group alone.
+    shifts = common.write_table(sizes.select("grp", "range", "first", F.sum("rows").over(whole).alias("n"),
+                          F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before")))
     return ranged.join(shifts, ["grp", "range"]).withColumn("pos", F.col("at") - F.col("first") + F.col("before")).drop(
         "range", "at", "first", "before")
 
