@@ -12,15 +12,16 @@ def test_matched_budget_uses_the_full_resampling(spark, monkeypatch):
         F.lit(1).alias("prefix_step"), (F.col("id") % 2).alias("y_fail"))
     calls = []
 
-    def out_of_fold(df, name, k=5, **_):
-        calls.append((df.select("instance_id").distinct().count(), name, k))
+    def out_of_fold(df, name, k=5, by=None, **settings):
+        sizes = df.groupBy(*by).agg(F.count_distinct("instance_id").alias("n")).collect()
+        calls.append(([r.n for r in sizes], name, k, settings))
         return df.withColumn("risk", F.rand(1))
 
     monkeypatch.setattr(training, "prefixes", lambda spark, sf: rows)
     monkeypatch.setattr(training.MD, "out_of_fold", out_of_fold)
     monkeypatch.setattr(training, "run_success_rate", lambda p, by: p.select(*by).distinct())
     training.matched_budget_monitorability(spark, "")
-    assert calls == [(60, "gradient_boosting", 5)] * 20
+    assert calls == [([60] * 20, "gradient_boosting", 5, {"rounds": 100, "rate": 0.1, "l2": 0.0})]
 
 
 def test_ablation_has_the_text_family_and_the_boosted_model(spark, sf_dir, monkeypatch):

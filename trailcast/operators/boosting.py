@@ -477,8 +477,11 @@ class Boosters:
     columns: list[str]
     trees: dict[str, Trees]
 
-    def risk(self, model: Column | None = None) -> Column:
-        """Probability column; ``model`` names the model of each row (unknown names give null)."""
+    def risk(self, model: Column | None = None, values: list[Column] | None = None) -> Column:
+        """Probability column; ``model`` names the model of each row (unknown names give null).
+
+        ``values`` stand for the columns where those are not clean numbers themselves.
+        """
         trees, width = self.trees, len(self.columns)
         only = next(iter(trees)) if len(trees) == 1 else None
 
@@ -491,8 +494,8 @@ class Boosters:
                     out[at] = 1.0 / (1.0 + np.exp(-trees[own].margins(matrix)))
             return pd.Series(out).where(~np.isnan(out), None)
 
-        values = F.array(*[F.col(c).cast("double") for c in self.columns]) if self.columns else F.array(F.lit(0.0))
-        return scored(F.lit(only) if model is None else model, values)
+        values = values or [F.col(c) for c in self.columns] or [F.lit(0.0)]
+        return scored(F.lit(only) if model is None else model, F.array(*[v.cast("double") for v in values]))
 
     def to_json(self) -> str:
         return json.dumps({"columns": self.columns, "trees": {n: asdict(t) for n, t in self.trees.items()}})

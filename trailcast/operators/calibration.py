@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailcast.operators.metrics import histogram
 
@@ -31,12 +31,26 @@ class Calibrator:
         return fitted.select(*df.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p"))).alias(out))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        write_text(SparkSession.active(), self.method, f"{path}/method")
+        if self.model is not None:
+            self.model.write().overwrite().save(f"{path}/fitted")
 
     @staticmethod
-    def load(path: str, method: str) -> Calibrator:
+    def load(path: str) -> Calibrator:
+        method = read_text(SparkSession.active(), f"{path}/method")
+        if method == "identity":
+            return Calibrator(method)
         kind = LogisticRegressionModel if method == "platt" else IsotonicRegressionModel
-        return Calibrator(method, kind.load(path))
+        return Calibrator(method, kind.load(f"{path}/fitted"))
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One line of text in a folder that all of the cluster can read."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path).first()[0]
 
 
 def fit_calibrator(df: DataFrame, method: str = "isotonic", score: str = "risk", label: str = "y_fail") -> Calibrator:

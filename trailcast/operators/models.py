@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trailcast.operators import boosting as BO
+from trailcast.operators.calibration import Calibrator, read_text, write_text
 from trailcast.operators.features import family_columns
-from trailcast.operators.labels import rule_score, shuffled_labels, to_numbers
+from trailcast.operators.labels import feature, rule_score, shuffled_labels, to_numbers
 from trailcast.operators.metrics import roc_auc
 from trailcast.operators.ordering import attach
 from trailcast.operators.prefixes import TEXT_COLUMN, feature_columns
@@ -25,36 +28,54 @@ LOGISTIC_ITERATIONS = 2000
 FOREST_TREES = 300
 FOREST_LEAF = 5
 FOREST_DEPTH = 30  # the most that pyspark.ml allows
-BOOST_ROUNDS = 300
-BOOST_RATE = 0.08
+BOOSTED = BO.Settings(rounds=300, rate=0.08, l2=1.0)
 
 
 @dataclass
 class RiskModel:
-    """A fitted scorer: constant, rule or pipeline."""
+    """A fitted scorer: constant, rule, boosted trees or pipeline."""
 
     name: str
     columns: list[str] = field(default_factory=list)
     pipeline: PipelineModel | None = None
     constant: float | None = None
+    boosted: BO.Boosters | None = None
 
     def score(self, df: DataFrame, out: str = "risk") -> DataFrame:
         if self.constant is not None:
             return df.withColumn(out, F.lit(self.constant))
-        if self.pipeline is None:
+        if self.pipeline is None and self.boosted is None:
             return df.withColumn(out, rule_score(df))
+        if self.boosted is not None:
+            return df.withColumn(out, self.boosted.risk(values=[feature(df, c) for c in self.columns]))
         keep = df.columns
         scored = self.pipeline.transform(_inputs(df, self.columns))
         return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
     def save(self, path: str) -> None:
-        if self.pipeline is None:
-            raise ValueError("only fitted pipelines are saved")
-        self.pipeline.write().overwrite().save(path)
+        """Write name, columns and whatever was fitted; every kind of model can be saved."""
+        spark = SparkSession.active()
+        body = {"name": self.name, "columns": self.columns, "constant": self.constant,
+                "boosted": self.boosted.to_json() if self.boosted else None, "pipeline": self.pipeline is not None}
+        write_text(spark, json.dumps(body), f"{path}/model")
+        if self.pipeline is not None:
+            self.pipeline.write().overwrite().save(f"{path}/pipeline")
 
     @staticmethod
-    def load(path: str, name: str, columns: list[str]) -> RiskModel:
-        return RiskModel(name, columns, PipelineModel.load(path))
+    def load(path: str) -> RiskModel:
+        body = json.loads(read_text(SparkSession.active(), f"{path}/model"))
+        return RiskModel(body["name"], body["columns"], PipelineModel.load(f"{path}/pipeline") if body["pipeline"] else None,
+                         body["constant"], BO.Boosters.from_json(body["boosted"]) if body["boosted"] else None)
+
+
+def save_bundle(path: str, model: RiskModel, calibrator: Calibrator | None = None) -> None:
+    """A model together with the calibrator of its scores."""
+    model.save(f"{path}/scorer")
+    (calibrator or Calibrator("identity")).save(f"{path}/calibrator")
+
+
+def load_bundle(path: str) -> tuple[RiskModel, Calibrator]:
+    return RiskModel.load(f"{path}/scorer"), Calibrator.load(f"{path}/calibrator")
 
 
 def _inputs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,12 +117,6 @@ def forest_pipeline(columns: list[str], n_rows: int, trees: int = FOREST_TREES,
     return Pipeline(stages=[*_assemble(columns, False), forest])
 
 
-def boosted_pipeline(columns: list[str], n_rows: int, rounds: int = BOOST_ROUNDS, seed: int = 42, **_) -> Pipeline:
-    boost = GBTClassifier(labelCol="_y", weightCol="_w", maxIter=rounds, stepSize=BOOST_RATE, maxBins=255, maxDepth=5,
-                          subsamplingRate=1.0, seed=seed)
-    return Pipeline(stages=[*_assemble(columns, False), boost])
-
-
 def text_pipeline(columns: list[str], n_rows: int, iterations: int = LOGISTIC_ITERATIONS,
                   vocabulary: int = 100_000, **_) -> Pipeline:
     """Numbers next to TF-IDF of the prefix text over its most frequent words and word pairs together."""
@@ -117,16 +132,15 @@ def text_pipeline(columns: list[str], n_rows: int, iterations: int = LOGISTIC_IT
         _logistic(n_rows, iterations)])
 
 
-# Model roster by name; the first two fit no pipeline.
+# Model roster by name; the first two and the boosted trees fit no pipeline.
 FACTORIES: dict[str, Callable[..., Pipeline]] = {
     "baseline_step_count_only": logistic_pipeline,
     "logistic_regression": logistic_pipeline,
     "random_forest": forest_pipeline,
-    "gradient_boosting": boosted_pipeline,
     "structured_plus_tfidf_logistic": text_pipeline,
 }
-ROSTER = ["baseline_majority", "heuristic_rule_monitor", *FACTORIES]
-UNWEIGHTED = {"gradient_boosting"}
+BOOSTING = "gradient_boosting"
+ROSTER = ["baseline_majority", "heuristic_rule_monitor", *FACTORIES, BOOSTING]
 
 
 def fit(name: str, train: DataFrame, columns: list[str] | None = None, label: str = "y_fail",
@@ -139,10 +153,12 @@ def fit(name: str, train: DataFrame, columns: list[str] | None = None, label: st
     if columns is None:
         columns = (family_columns(train.columns, ["step_count_only"]) if name == "baseline_step_count_only"
                    else feature_columns(train))
-    if name in UNWEIGHTED:
-        rows = train.withColumn("_w", F.lit(1.0) if weight is None else F.col(weight))
-    else:
-        rows = balanced_weights(train, label, weight)
+    if name == BOOSTING:
+        boosted = BO.fit_many(_inputs(train, columns), columns, replace(BOOSTED, **settings), label=label, weight=weight)
+        if not boosted.trees:
+            raise ValueError(f"no rows to train {name} on")
+        return RiskModel(name, columns, boosted=boosted)
+    rows = balanced_weights(train, label, weight)
     text = [TEXT_COLUMN] if FACTORIES[name] is text_pipeline else []
     rows = _inputs(rows.select(*columns, *text, "_w", F.col(label).cast("double").alias("_y")), columns)
     rows = reuse(rows)
@@ -153,12 +169,29 @@ def fit(name: str, train: DataFrame, columns: list[str] | None = None, label: st
     return RiskModel(name, columns, pipeline)
 
 
-def fit_family(train: DataFrame, families: list[str], name: str = "gradient_boosting", **settings) -> RiskModel:
-    """A model restricted to feature families; families with text use the text model."""
-    chosen = "structured_plus_tfidf_logistic" if "all_structured_plus_text" in families else name
-    model = fit(chosen, train, family_columns(train.columns, families), **settings)
-    model.name = "ablation::" + "+".join(families)
-    return model
+def fit_boosted(train: DataFrame, columns_of: dict[str, list[str]], label: str = "y_fail", weight: str | None = None,
+                **settings) -> dict[str, RiskModel]:
+    """Boosted models of several column sets, all grown side by side."""
+    columns = list(dict.fromkeys(c for own in columns_of.values() for c in own))
+    names = F.array(*[F.lit(n) for n in columns_of])
+    found = BO.fit_many(_inputs(train, columns).withColumn("_models", names), columns, replace(BOOSTED, **settings),
+                        "_models", columns_of, label, weight)
+    return {n: RiskModel(BOOSTING, columns, boosted=BO.Boosters(columns, {n: t})) for n, t in found.trees.items()}
+
+
+def fit_families(train: DataFrame, families: list[list[str]], name: str = BOOSTING, **settings) -> dict[str, RiskModel]:
+    """Models restricted to feature families; families with text use the text model."""
+    text = [f for f in families if "all_structured_plus_text" in f]
+    plain = [f for f in families if f not in text]
+    if name == BOOSTING:
+        models = fit_boosted(train, {"+".join(f): family_columns(train.columns, f) for f in plain}, **settings)
+    else:
+        models = {"+".join(f): fit(name, train, family_columns(train.columns, f), **settings) for f in plain}
+    for f in text:
+        models["+".join(f)] = fit("structured_plus_tfidf_logistic", train, family_columns(train.columns, f))
+    for label, model in models.items():
+        model.name = f"ablation::{label}"
+    return {"+".join(f): models["+".join(f)] for f in families}
 
 
 def fit_shuffled(train: DataFrame, name: str = "logistic_regression", seed: int = 42, **settings) -> RiskModel:
@@ -166,9 +199,27 @@ def fit_shuffled(train: DataFrame, name: str = "logistic_regression", seed: int
     return fit(name, shuffled_labels(train, seed=seed), feature_columns(train), label="y_shuffled", **settings)
 
 
-def out_of_fold(df: DataFrame, name: str, k: int = 5, group: str = "instance_id", out: str = "risk", **settings) -> DataFrame:
-    """Score every row with a model that never saw its group."""
-    folds = reuse(df.join(group_kfold(df, group, k), group))
+def out_of_fold(df: DataFrame, name: str, k: int = 5, group: str = "instance_id", out: str = "risk",
+                by: list[str] | None = None, **settings) -> DataFrame:
+    """Score every row with a model that never saw its group, for each set of rows ``by``.
+
+    Boosted models of all sets and folds are grown side by side; other models are fitted one after another.
+    """
+    by = by or []
+    folds = reuse(df.join(group_kfold(df, group, k, by), [*by, group]))
+    if name == BOOSTING:
+        columns = feature_columns(df)
+        label = settings.pop("label", "y_fail")
+
+        def named(fold):
+            return F.concat_ws("|", *[F.col(c).cast("string") for c in by], fold.cast("string"))
+
+        others = F.transform(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col("fold")), named)
+        found = BO.fit_many(_inputs(folds, columns).withColumn("_models", others), columns, replace(BOOSTED, **settings),
+                            "_models", label=label)
+        return folds.withColumn(out, found.risk(named(F.col("fold")), [feature(folds, c) for c in columns]))
+    if by:
+        raise ValueError(f"{name} is fitted for one set of rows at a time")
     scored = None
     for i in range(k):
         model = fit(name, folds.where(F.col("fold") != i), feature_columns(df), **settings)
@@ -225,7 +276,8 @@ def blend(validation: DataFrame, test: DataFrame, scores: list[str], steps: int
 def compare_candidates(train: DataFrame, validation: DataFrame, test: DataFrame, candidates: dict[str, list[str]],
                        base: str, name: str = "gradient_boosting", n_boot: int = 1000, **settings) -> DataFrame:
     """Choose a feature set on validation, then one paired test of the winner against the base set."""
-    models = {c: fit(name, train, cols, **settings) for c, cols in candidates.items()}
+    models = fit_boosted(train, candidates, **settings) if name == BOOSTING else {
+        c: fit(name, train, cols, **settings) for c, cols in candidates.items()}
     val = {c: roc_auc(m.score(validation)).first().auc or 0.0 for c, m in models.items()}
     winner = max(val, key=lambda c: val[c])
     scored = models[winner].score(models[base].score(test, "p_base"), "p_new")

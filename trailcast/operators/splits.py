@@ -73,17 +73,53 @@ def check_disjoint(df: DataFrame, group: str = "instance_id") -> DataFrame:
     return df
 
 
-def size_bucket(n: Column) -> Column:
-    """Bucket that does not decrease as the size falls."""
-    return -F.floor(F.log2(n.cast("double")) * 64).cast("bigint")
-
-
-def group_kfold(df: DataFrame, group: str = "instance_id", k: int = 5) -> DataFrame:
-    """(group, fold): groups dealt out from large to small, forth and back over the folds."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    r = number_rows(sizes, [F.col("n").desc(), F.col(group)], size_bucket(F.col("n")), "place")
-    lap, seat = F.floor((F.col("place") - 1) / k), (F.col("place") - 1) % k
-    return r.select(group, F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("bigint").alias("fold"))
+def greedy_shares(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """(size, fold, number of groups) when groups go from large to small, each to the lightest fold so far.
+
+    ``sizes`` lists (size, number of groups). Equal sizes are dealt in bulk: folds that differ by less than a
+    size take turns until they reach the next heavier one.
+    """
+    loads, out = [0] * k, []
+    for size, left in sorted(sizes, reverse=True):
+        given = [0] * k
+        while left:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            near = [f for f in order if loads[f] - loads[order[0]] < size]
+            turns = left // len(near)
+            if len(near) < k:
+                turns = min(turns, (loads[order[len(near)]] - loads[near[-1]] - 1) // size)
+            taking = near if turns else order[:1]
+            for f in taking:
+                loads[f] += max(1, turns) * size
+                given[f] += max(1, turns)
+            left -= max(1, turns) * len(taking)
+        out += [(size, f, n) for f, n in enumerate(given) if n]
+    return out
+
+
+def group_kfold(df: DataFrame, group: str = "instance_id", k: int = 5, by: list[str] | None = None,
+                seed: int = 0) -> DataFrame:
+    """(by, group, fold): groups from large to small, each to the fold with the fewest rows so far.
+
+    Only the number of groups of each size reaches the driver (N rows have less than sqrt(2 N) distinct
+    sizes). Groups of one size are interchangeable; they are dealt by hash.
+    """
+    by = by or []
+    sizes = df.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n")).withColumn("_h", T.hash_key(F.lit(seed), F.col(group)))
+    found: dict[tuple, list[tuple[int, int]]] = {}
+    for r in sizes.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("_c")).collect():
+        found.setdefault(tuple(r[: len(by)]), []).append((r["n"], r["_c"]))
+    shares = []
+    for key, own in found.items():
+        last: dict[int, int] = {}
+        for size, fold, n in greedy_shares(own, k):
+            shares.append((*key, size, fold, last.get(size, 0), last.get(size, 0) + n))
+            last[size] = last.get(size, 0) + n
+    types = dict(df.dtypes)
+    spans = df.sparkSession.createDataFrame(shares, ", ".join(
+        [f"`{c}` {types[c]}" for c in by] + ["n bigint", "fold bigint", "_from bigint", "_to bigint"]))
+    ranked = number_rows(sizes, [F.col("_h"), F.col(group)], text_bucket(F.col("_h")), "place", [*by, "n"])
+    return ranked.join(spans, [*by, "n"]).where("place > _from and place <= _to").select(*by, group, "fold")
 
 
 def transfer_roles(df: DataFrame, source_model: str, seed: int = 42, train_share: float = 0.85) -> DataFrame:

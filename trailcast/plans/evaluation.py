@@ -501,10 +501,24 @@ def split_overlap_check(spark, sf):
     return SP.overlap(SP.split(S.risk(spark, sf)))
 
 
+def kfold_sql(name: str, sizes: str, group: str, k: int) -> str:
+    """CTE (group, fold): groups from large to small to the lightest fold; equal sizes dealt by hash."""
+    return f"""{name} AS (
+  WITH RECURSIVE o AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS i FROM {sizes}),
+  r AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST({[0] * k} AS BIGINT[]) AS loads, CAST(0 AS BIGINT) AS fold, CAST(0 AS BIGINT) AS n
+    UNION ALL
+    SELECT o.i, list_transform(loads, lambda x, j: x + CASE WHEN j = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END),
+           list_position(loads, list_min(loads)) - 1, o.n FROM r JOIN o ON o.i = r.i + 1),
+  c AS (SELECT n, fold, count(*) AS c FROM r WHERE i > 0 GROUP BY ALL),
+  span AS (SELECT n, fold, c, sum(c) OVER (PARTITION BY n ORDER BY fold) AS upto FROM c),
+  ranks AS (SELECT {group}, n, row_number() OVER (PARTITION BY n ORDER BY md5(concat('0|', {group})), {group}) AS place FROM {sizes})
+  SELECT {group}, fold FROM ranks JOIN span USING (n) WHERE place > upto - c AND place <= upto)"""
+
+
 @query("group_kfold", RISK + """,
-s AS (SELECT instance_id, count(*) AS n FROM risk GROUP BY 1),
-p AS (SELECT instance_id, row_number() OVER (ORDER BY n DESC, instance_id) - 1 AS i FROM s)
-SELECT instance_id, CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS fold FROM p""")
+s AS (SELECT instance_id, count(*) AS n FROM risk GROUP BY 1),""" + kfold_sql("f", "s", "instance_id", 5) + """
+SELECT instance_id, fold FROM f""")
 def group_kfold(spark, sf):
     return SP.group_kfold(S.risk(spark, sf))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trailcast.operators import selection as SL
 from trailcast.operators import shift as SH
 from trailcast.operators import vectors as V
-from trailcast.plans.evaluation import RISK, pair_auc
+from trailcast.plans.evaluation import kfold_sql, RISK, pair_auc
 from trailcast.plans.features import BASE_SQL, rounded
 from trailcast.plans.decisions import prefixes
 from trailcast.plans.registry import query
@@ -52,8 +52,7 @@ def _held_sql(by: str) -> str:
     on = f"AND t.{by} = h.{by}" if by else ""
     return _ACT + f""",
 sizes AS (SELECT grp, count(*) AS n FROM con GROUP BY 1),
-pl AS (SELECT grp, row_number() OVER (ORDER BY n DESC, grp) - 1 AS i FROM sizes),
-fold AS (SELECT grp, CASE WHEN (i // 4) % 2 = 0 THEN i % 4 ELSE 3 - i % 4 END AS fold FROM pl),
+{kfold_sql("fold", "sizes", "grp", 4)},
 lf AS (SELECT long.*, fold FROM long JOIN fold USING (grp)),
 dirs AS (
   SELECT {keys.replace(by, 'h.' + by) if by else ''}h.fold, t.dim, avg(t.v) FILTER (t.y = 1) - avg(t.v) FILTER (t.y = 0) AS d

@@ -112,8 +112,7 @@ def feature_set_comparison(spark, sf):
     train, val, test = folds(spark, sf, table)
     everything = [c for c in train.columns if c.startswith("f__")]
     base = [c for c in everything if not c.startswith("f__adv_")]
-    return MD.compare_candidates(train, val, test, {"base": base, "dynamics": everything}, "base",
-                                 "logistic_regression")
+    return MD.compare_candidates(train, val, test, {"base": base, "dynamics": everything}, "base")
 
 
 @query("label_scheme_comparison")
@@ -176,20 +175,22 @@ def second_source_transfer(spark, sf):
 
 @query("matched_budget_monitorability")
 def matched_budget_monitorability(spark, sf):
-    """AUC per agent from equally many instances, averaged over random instance subsets."""
+    """AUC per agent from equally many instances, averaged over random instance subsets.
+
+    All fits (agents, subsets and folds) are grown side by side.
+    """
     p = cut_lineage(prefixes(spark, sf))
-    out = None
+    picks = None
     for agent in [r.model_name for r in p.select("model_name").distinct().orderBy("model_name").collect()]:  # agents are few
-        own = p.where(F.col("model_name") == agent)
-        picks = cut_lineage(SA.subsets(own, "instance_id", 60, 20))
-        for rep in range(20):
-            rows = cut_lineage(own.join(picks.where(F.col("rep") == rep), "instance_id", "left_semi"))
-            if rows.select("y_fail").distinct().count() < 2:
-                continue  # no AUC, as in the reference
-            auc = cut_lineage(M.roc_auc(MD.out_of_fold(rows, "gradient_boosting", k=5)).select(
-                F.lit(agent).alias("model_name"), F.lit(rep).alias("rep"), "auc"))
-            out = auc if out is None else out.unionByName(auc)
-    stats = out.groupBy("model_name").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"))
+        own = SA.subsets(p.where(F.col("model_name") == agent), "instance_id", 60, 20).withColumn("model_name", F.lit(agent))
+        picks = own if picks is None else picks.unionByName(own)
+    rows = cut_lineage(p.join(picks, ["model_name", "instance_id"]))
+    sets = ["model_name", "rep"]
+    both = rows.groupBy(*sets).agg(F.count_distinct("y_fail").alias("classes")).where("classes = 2")  # no AUC of one class
+    rows = cut_lineage(rows.join(both.select(*sets), sets))
+    scored = MD.out_of_fold(rows, "gradient_boosting", k=5, by=sets, rounds=100, rate=0.1, l2=0.0)
+    aucs = M.roc_auc(cut_lineage(scored.select(*sets, "y_fail", "risk")), by=sets)
+    stats = aucs.groupBy("model_name").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"))
     return stats.join(run_success_rate(p, ["model_name"]), "model_name")
 
 
