@@ -123,7 +123,7 @@ def label_scheme_comparison(spark, sf):
     columns = [c for c in train.columns if c.startswith("f__")]
     fits = {"terminal": {}, "gated": {"label": "y_gated"}, "noise_weighted": {"weight": "w_noisy"},
             "late_weighted": {"weight": "w_late"}}
-    models = {n: MD.fit("logistic_regression", shaped, columns, **kw) for n, kw in fits.items()}
+    models = {n: MD.fit("gradient_boosting", shaped, columns, **kw) for n, kw in fits.items()}
     scored = RP.score_models(models, test)
     out = None
     for n in fits:
@@ -141,7 +141,7 @@ def out_of_fold_auc(spark, sf):
 def cross_model_transfer(spark, sf):
     """A model trained on one agent, applied to the others, with and without recalibration."""
     rows = cut_lineage(SP.transfer_roles(part_shared_instances(cut_lineage(prefixes(spark, sf))), "m0"))
-    model = MD.fit("logistic_regression", rows.where("role = 'train'"))
+    model = MD.fit("gradient_boosting", rows.where("role = 'train'"))
     held, target = cut_lineage(model.score(rows.where("role = 'holdout'"))), cut_lineage(
         SA.half(model.score(rows.where("role = 'target'")), "prefix_id"))
     naive = fit_calibrator(held).apply(target)
@@ -157,14 +157,14 @@ def second_source_transfer(spark, sf):
     source, target = p.where("model_name = 'm0'"), cut_lineage(p.where("model_name <> 'm0'"))
     columns = [f"f__{c}" for c in FT.FAMILIES["action_counts"] + FT.FAMILIES["loop_behavior"]]
     loops = [f"f__{c}" for c in FT.FAMILIES["loop_behavior"]]
-    model = MD.fit("logistic_regression", source, columns)
-    loop_model = MD.fit("logistic_regression", source, loops)
+    model = MD.fit("gradient_boosting", source, columns)
+    loop_model = MD.fit("gradient_boosting", source, loops)
     aligned = SH.align(source, target.select("prefix_id", *columns), columns)
     naive = loop_model.score(model.score(target, "p_naive"), "p_loop").select(
         "prefix_id", "trajectory_id", "instance_id", "prefix_step", "y_fail", "p_naive", "p_loop")
     scores = cut_lineage(naive.join(model.score(aligned, "p_aligned").select("prefix_id", "p_aligned"), "prefix_id"))
     ens = SH.rank_ensemble(scores, ["p_aligned", "p_loop"])
-    own = MD.out_of_fold(target.select("prefix_id", "instance_id", "y_fail", *columns), "logistic_regression", out="p_own")
+    own = MD.out_of_fold(target.select("prefix_id", "instance_id", "y_fail", *columns), "gradient_boosting", out="p_own")
     all_scores = ens.join(own.select("prefix_id", "p_own"), "prefix_id")
     few = cut_lineage(SH.rank_ensemble(all_scores.withColumnRenamed("ensemble", "p_ens"), ["p_ens", "p_own"]))
     out = SH.last_prefix_auc(few, "p_ens").withColumn("variant", F.lit("post_hoc"))
@@ -199,7 +199,7 @@ def regime_comparison(spark, sf):
     """Model for all prefixes against one retrained on late prefixes, both on late prefixes."""
     train, val, test = folds(spark, sf)
     late = F.col("prefix_step") >= 10
-    full, regime = (MD.fit("logistic_regression", rows) for rows in (train, train.where(late)))
+    full, regime = (MD.fit("gradient_boosting", rows) for rows in (train, train.where(late)))
 
     def calibrated(model, rows_val, rows, out):
         return fit_calibrator(cut_lineage(model.score(rows_val))).apply(model.score(rows, "_raw").withColumnRenamed("_raw", "risk"), out=out).drop("risk")
@@ -221,7 +221,7 @@ def regime_comparison(spark, sf):
 def monitor_verdicts(spark, sf):
     """Score, calibrate, abstain, decide: one verdict per test prefix, alarms under cooldown and budget."""
     rows = cut_lineage(SP.split(cut_lineage(with_recent(spark, sf).drop("risk"))))
-    model = MD.fit("logistic_regression", rows.where("fold = 'train'"))
+    model = MD.fit("gradient_boosting", rows.where("fold = 'train'"))
     calibrator = fit_calibrator(cut_lineage(model.score(rows.where("fold = 'val'"))))
     scored = cut_lineage(calibrator.apply(model.score(rows.where("fold = 'test'"), "risk")))
     return IV.verdicts(scored, threshold=0.6, min_step=5, conf_floor=0.05)
@@ -235,5 +235,5 @@ def vector_logistic_probe(spark, sf):
 @query("scored_operating_point")
 def scored_operating_point(spark, sf):
     train, val, test = folds(spark, sf)
-    model = MD.fit("logistic_regression", train)
+    model = MD.fit("gradient_boosting", train)
     return AB.operating_point(cut_lineage(model.score(val)), cut_lineage(model.score(test)))
