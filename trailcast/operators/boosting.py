@@ -265,22 +265,25 @@ class _Histograms:
         return np.stack([np.bincount(flat, np.repeat(x, width), n * self.total) for x in (g, h)] + [
             np.bincount(flat, minlength=n * self.total).astype(float)]).reshape(3, n, self.total)
 
-    def best(self, sums: np.ndarray) -> tuple[tuple, tuple | None]:
-        """Totals of a node and its best split (the first of equal ones)."""
+    def best(self, sums: np.ndarray) -> list[tuple[tuple, tuple | None]]:
+        """For each node of ``sums`` (3, nodes, bins) its totals and its best split (the first of equal ones)."""
+        n = sums.shape[1]
         if not self.total:
-            return (0.0, 0.0, 0.0), None
-        cum = np.cumsum(sums, axis=1)
-        left = cum - (cum[:, self.first] - sums[:, self.first])
-        all_ = sums[:, :self.starts[1]].sum(axis=1)
-        right = all_[:, None] - left
+            return [((0.0, 0.0, 0.0), None)] * n
+        cum = np.cumsum(sums, axis=2)
+        left = cum - (cum[:, :, self.first] - sums[:, :, self.first])
+        all_ = sums[:, :, :self.starts[1]].sum(axis=2)
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = gains(left[0] / QUANTUM, left[1] / QUANTUM, all_[0] / QUANTUM, all_[1] / QUANTUM, self.s.l2)
+            gain = gains(left[0] / QUANTUM, left[1] / QUANTUM, all_[0][:, None] / QUANTUM, all_[1][:, None] / QUANTUM, self.s.l2)
         low = self.s.min_hessian * QUANTUM
-        ok = self.inner & (left[2] >= self.s.min_rows) & (right[2] >= self.s.min_rows) & (left[1] >= low) & (right[1] >= low)
+        rest = all_[1:, :, None] - left[1:]
+        ok = self.inner & (left[2] >= self.s.min_rows) & (rest[1] >= self.s.min_rows) & (left[1] >= low) & (rest[0] >= low)
         gain = np.where(ok, gain, -np.inf)
-        at = int(np.argmax(gain))
-        split = (float(gain[at]), int(self.feature[at]), int(self.bin[at]), tuple(left[:, at].tolist())) if gain[at] > 0 else None
-        return tuple(all_.tolist()), split
+        out = []
+        for k, at in enumerate(gain.argmax(axis=1).tolist()):
+            split = (float(gain[k, at]), int(self.feature[at]), int(self.bin[at]), tuple(left[:, k, at].tolist())) if gain[k, at] > 0 else None
+            out.append((tuple(all_[:, k].tolist()), split))
+        return out
 
 
 def gains(g, h, total_g, total_h, l2: float):
@@ -310,18 +313,23 @@ def _grow_in_task(widths: list[int], allowed: dict[str, list[int]], s: Settings)
                 if _stops(losses, s):
                     break
             g, h = _slopes(margin[train], y[train], w[train])
-            growing, members = Growing(s), {0: np.arange(len(train))}
+            growing, members, known = Growing(s), {0: np.arange(len(train))}, {}
             while wanted := growing.wanted(ahead=False):
-                for i in wanted:
-                    if i not in members:
-                        parent = next(k for k, n in enumerate(growing.nodes) if n.children and i in n.children)
-                        node = growing.nodes[parent]
-                        rows = members.pop(parent)
-                        left = bins[train[rows], node.split[1]] <= node.split[2]
-                        members[node.children[0]], members[node.children[1]] = rows[left], rows[~left]
-                    rows = members[i]
-                    sums = histograms.sums(keys[rows], np.zeros(len(rows), np.int64), 1, g[rows], h[rows])
-                    growing.measure(i, *histograms.best(sums[:, 0]))
+                if wanted == [0]:
+                    known[0] = histograms.sums(keys, np.zeros(len(train), np.int64), 1, g, h)
+                else:
+                    # Both children of one node: the smaller one is summed, the other is what is left of the parent.
+                    parent = next(k for k, n in enumerate(growing.nodes) if n.children and wanted[0] in n.children)
+                    node, rows = growing.nodes[parent], members.pop(parent)
+                    left = bins[train[rows], node.split[1]] <= node.split[2]
+                    for child, side in zip(node.children, (rows[left], rows[~left])):
+                        members[child] = side
+                    small, other = sorted(node.children, key=lambda c: len(members[c]))
+                    rows = members[small]
+                    known[small] = histograms.sums(keys[rows], np.zeros(len(rows), np.int64), 1, g[rows], h[rows])
+                    known[other] = known.pop(parent) - known[small]
+                for i, found in zip(wanted, histograms.best(np.concatenate([known[i] for i in wanted], axis=1))):
+                    growing.measure(i, *found)
             trees.append(growing.tree())
             margin += np.array(trees[-1]["value"])[route(trees[-1], bins)]
         return pa.table({"model": [name], "trees": [json.dumps({"baseline": start, "trees": trees})]})
