@@ -38,8 +38,11 @@ def read_results(steps: DataFrame) -> DataFrame:
     })
 
 
-def step_signals(steps: DataFrame, errors: bool = True) -> DataFrame:
-    """Slim numeric row per step: what the feature windows need, without the long texts."""
+def step_signals(steps: DataFrame, errors: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Slim numeric row per step: what the feature windows need, without the long texts.
+
+    ``keep`` names further columns that go along, such as the time of a stream.
+    """
     s = read_results(classify(with_defaults(steps)))
     action, obs = T.or_empty(F.col("action_text")), T.or_empty(F.col("observation_text"))
     is_error = F.col("contains_traceback") | F.col("contains_exception")
@@ -52,6 +55,7 @@ def step_signals(steps: DataFrame, errors: bool = True) -> DataFrame:
         "kind": kind,
         "files": F.col("file_paths"),
         "cmd": T.normalized_command(F.col("command"), action, 200),
+        "shown_cmd": T.strip(T.or_empty(F.col("command"), F.col("action_text"))),
         "is_test": F.col("is_test_command"),
         "has_action": (T.strip(action) != "").cast("bigint"),
         "thought_len": F.length(T.or_empty(F.col("thought_text"))).cast("bigint"),
@@ -72,5 +76,5 @@ def step_signals(steps: DataFrame, errors: bool = True) -> DataFrame:
     }
     if errors:
         columns.update({f"err_{n}": c for n, c in T.error_counts(obs).items()})
-    return s.select("trajectory_id", "instance_id", "model_name", "step_index",
+    return s.select("trajectory_id", "instance_id", "model_name", "step_index", *(keep or []),
                     *[c.alias(n) for n, c in columns.items()])

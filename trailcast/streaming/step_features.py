@@ -3,7 +3,9 @@
 Text is read by :func:`trailcast.operators.step_signals.step_signals` on the stream
 itself (a map in the JVM); the processor only updates counters. Steps may arrive late,
 twice or in any order: a step waits in state until all earlier ones are there, and a
-number seen before is dropped.
+number seen before is dropped. With ``wait`` a step that never comes does not hold its
+run for ever: an event-time timer of the first step beyond it goes on without it and
+marks the gap.
 """
 
 from __future__ import annotations
@@ -11,20 +13,26 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trailcast.functions import patterns as P
 from trailcast.operators.features import BASE_FEATURES
 from trailcast.operators.step_signals import step_signals, with_defaults
+from trailcast.streaming import step_dynamics as SD
 
 RATIOS = {"avg_observation_chars", "edit_to_read_ratio", "test_to_edit_ratio", "search_to_edit_ratio"}
 OUTPUT = "trajectory_id string, prefix_step bigint, " + ", ".join(
     f"{n} {'double' if n in RATIOS else 'bigint'}" for n in BASE_FEATURES if n != "prefix_step")
-SIGNALS = ["k", "kind", "files", "cmd", "is_test", "has_action", "thought_len", "action_len", "obs_len",
+EXTRAS = "recent_commands array<string>, gap bigint, n_missing bigint"
+SIGNALS = ["k", "kind", "files", "cmd", "shown_cmd", "is_test", "has_action", "thought_len", "action_len", "obs_len",
            "passes", "fails", "test_code", "traceback", "assertion"]
 
 
+def output_schema(dynamics: bool) -> str:
+    return ", ".join([OUTPUT, *([SD.SCHEMA] if dynamics else []), EXTRAS])
+
+
 class _Table:
     """A keyed count table in map state; values touched in one call are read and written once."""
 
@@ -34,7 +42,7 @@ class _Table:
     def add(self, key: str) -> int:
         if key not in self.seen:
             stored = self.state.getValue((key,))
-            self.seen[key] = stored[0] if stored else 0
+            self.seen[key] = int(stored[0]) if stored else 0
         self.seen[key] += 1
         return self.seen[key]
 
@@ -42,51 +50,106 @@ class _Table:
         if key in self.seen:
             return self.seen[key]
         stored = self.state.getValue((key,))
-        return stored[0] if stored else 0
+        return int(stored[0]) if stored else 0
+
+    def keep(self, key: str, value: float) -> None:
+        """A number that is no count."""
+        self.state.updateValue((key,), (repr(value),))
+
+    def kept(self, key: str, forget: bool) -> float | None:
+        stored = self.state.getValue((key,))
+        if stored and forget:
+            self.state.removeKey((key,))
+        return float(stored[0]) if stored else None
 
     def save(self) -> None:
         for key, n in self.seen.items():
-            self.state.updateValue((key,), (n,))
+            self.state.updateValue((key,), (str(n),))
 
 
 class StepFeatures(StatefulProcessor):
-    """Counters of a run in one value, seen files and commands in a map, early steps in another."""
+    """Counters of a run in one value, keyed counts in a map, early steps in another."""
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, dynamics: bool = False, similarity: str = "blocks", wait_ms: int | None = None):
+        self.ttl_ms, self.dynamics, self.similarity, self.wait_ms = ttl_ms, dynamics, similarity, wait_ms
+        self.signals = SIGNALS + (SD.SIGNALS if dynamics else []) + (["at_ms"] if wait_ms is not None else [])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.counters = handle.getValueState("counters", "body string", self.ttl_ms)
-        self.counts = handle.getMapState("counts", "key string", "n bigint", self.ttl_ms)
+        self.counts = handle.getMapState("counts", "key string", "n string", self.ttl_ms)
         self.waiting = handle.getMapState("waiting", "k bigint", "body string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stored = self.counters.get() if self.counters.exists() else None
-        c = json.loads(stored[0]) if stored else {"k": 0, "recent": [], "kind": None, "streak": 0}
+        c, table = self._state()
         arrived = {}
         for r in rows:
             if r.k > c["k"]:
-                arrived.setdefault(r.k, {n: getattr(r, n) for n in SIGNALS})
-        table, results = _Table(self.counts), []
+                arrived.setdefault(r.k, {n: getattr(r, n) for n in self.signals})
+        results = self._go_on(key, c, table, arrived)
+        for k, step in arrived.items():
+            if not self.waiting.containsKey((k,)):
+                self.waiting.updateValue((k,), (json.dumps(step),))
+        if self.wait_ms is not None:
+            results += self._pass_gaps(key, c, table, timerValues.getCurrentWatermarkInMs())
+        self._store(c, table)
+        return iter(results)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        c, table = self._state()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        results = self._pass_gaps(key, c, table, now)
+        self._store(c, table)
+        return iter(results)
+
+    def close(self) -> None:
+        pass
+
+    def _state(self) -> tuple[dict, _Table]:
+        stored = self.counters.get() if self.counters.exists() else None
+        c = json.loads(stored[0]) if stored else {"k": 0, "recent": [], "shown": [], "kind": None, "streak": 0, "missing": 0}
+        return c, _Table(self.counts)
+
+    def _store(self, c: dict, table: _Table) -> None:
+        table.save()
+        self.counters.update((json.dumps(c),))
+
+    def _go_on(self, key, c: dict, table: _Table, arrived: dict) -> list[Row]:
+        """All steps that follow without a gap, from what arrived and what waits."""
+        results = []
         while True:
             k = c["k"] + 1
             step = arrived.pop(k, None)
             if step is None and self.waiting.containsKey((k,)):
                 step = json.loads(self.waiting.getValue((k,))[0])
             if step is None:
-                break
+                return results
             if self.waiting.containsKey((k,)):
                 self.waiting.removeKey((k,))
-            results.append(Row(trajectory_id=key[0], **_advance(c, table, step)))
-        for k, step in arrived.items():
-            if not self.waiting.containsKey((k,)):
-                self.waiting.updateValue((k,), (json.dumps(step),))
-        table.save()
-        self.counters.update((json.dumps(c),))
-        return iter(results)
+            results.append(self._step(key, c, table, step))
+
+    def _pass_gaps(self, key, c: dict, table: _Table, now: int) -> list[Row]:
+        """Go on beyond missing steps whose time is over; a timer for the next one that may still come."""
+        results = []
+        while waiting := sorted(k for (k,) in self.waiting.keys()):
+            first = json.loads(self.waiting.getValue((waiting[0],))[0])
+            until = first["at_ms"] + self.wait_ms
+            if until > now:
+                self.handle.registerTimer(until)
+                break
+            c["gap"] = waiting[0] - c["k"] - 1
+            c["missing"] += c["gap"]
+            c["k"] = waiting[0] - 1
+            results += self._go_on(key, c, table, {})
+        return results
 
-    def close(self) -> None:
-        pass
+    def _step(self, key, c: dict, table: _Table, step: dict) -> Row:
+        before = {"kind": c["kind"], "fails": c.get("fails"), "read_files": c.get("read_files", 0)}
+        row = _advance(c, table, step)
+        if self.dynamics:
+            row |= SD.advance(c, table, step, row, before, self.similarity)
+        c["shown"] = (c["shown"] + [step["shown_cmd"]])[-5:]
+        return Row(trajectory_id=key[0], **row, recent_commands=list(c["shown"]), gap=c.pop("gap", 0), n_missing=c["missing"])
 
 
 def _bump(c: dict, name: str, by: int = 1) -> int:
@@ -172,9 +235,21 @@ def _advance(c: dict, table: _Table, s: dict) -> dict:
     return dict(zip(BASE_FEATURES, values))
 
 
-def feature_stream(steps: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Base features of every step of a step stream."""
-    signals = step_signals(with_defaults(steps), errors=False).select("trajectory_id", *SIGNALS)
-    return signals.groupBy("trajectory_id").transformWithState(
-        statefulProcessor=StepFeatures(ttl_ms), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="None" if ttl_ms is None else "ProcessingTime")
+def feature_stream(steps: DataFrame, ttl_ms: int | None = None, dynamics: bool = False, similarity: str = "blocks",
+                   wait_seconds: int | None = None, delay: str = "1 hour", time: str = "ts") -> DataFrame:
+    """Features of every step of a step stream: the base ones and, if wanted, the dynamics.
+
+    ``wait_seconds`` lets a run go on without a step that has not come when the watermark (``delay`` behind
+    the latest ``time``) is so far beyond the first step after it; ``gap`` then counts the steps left out.
+    Without it every step waits for all before it.
+    """
+    timed = wait_seconds is not None
+    source = with_defaults(steps.withWatermark(time, delay) if timed else steps)
+    signals = step_signals(source, errors=dynamics, keep=[time] if timed else [])
+    processor = StepFeatures(ttl_ms, dynamics, similarity, 1000 * wait_seconds if timed else None)
+    if timed:
+        signals = signals.withColumn("at_ms", F.unix_millis(time))
+    mode = "EventTime" if timed else "None" if ttl_ms is None else "ProcessingTime"
+    return signals.select("trajectory_id", *processor.signals, *([time] if timed else [])).groupBy(
+        "trajectory_id").transformWithState(
+        statefulProcessor=processor, outputStructType=output_schema(dynamics), outputMode="Append", timeMode=mode)
