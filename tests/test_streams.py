@@ -93,3 +93,43 @@ def test_a_gap_near_the_end_still_waits_and_a_late_step_fills_it(spark, tmp_path
     assert out.agg(F.max("prefix_step")).first()[0] == 27
     out = run(spark, [most, late], str(tmp_path / "b"), **options)
     assert out.count() == 30 and out.agg(F.sum("gap")).first()[0] == 0
+
+
+def test_stream_with_the_fitted_monitor_equals_batch(spark, sf_dir, tmp_path, monkeypatch):
+    from trailcast.operators import interventions as IV
+    from trailcast.operators import models as MD
+    from trailcast.operators import prefixes as PX
+    from trailcast.plans import streams, training
+
+    monkeypatch.setattr(MD, "BOOSTED", MD.BO.Settings(rounds=20))
+    parts = training.fitted_monitor(spark, sf_dir)
+    monkeypatch.setattr(streams, "fitted_monitor", lambda *_: parts)
+    rows, model, calibrator = parts
+    inner = rows.where("fold = 'test'").where(PX.on_schedule(F.col("prefix_step"), F.col("prefix_step") + 1))
+    want = IV.verdicts(calibrator.apply(model.score(inner)), threshold=0.6, min_step=5, conf_floor=0.05)
+    want = {(r["trajectory_id"], r["prefix_step"]): r for r in want.collect()}
+    got = {(r["trajectory_id"], r["prefix_step"]): r for r in streams.stream_monitor_verdicts(spark, sf_dir).collect()}
+    assert set(got) == set(want) and any(r["alarm"] for r in want.values())
+    for key, w in want.items():
+        g = got[key]
+        assert g["calibrated"] == pytest.approx(w["calibrated_risk"])
+        assert (g["alarm"], g["abstain"], g["would_alarm"]) == (w["alarm"], w["abstain"], w["would_alarm"]), key
+        if not g["abstain"]:
+            assert (g["kind"], g["message"]) == (w["recommended_intervention"], w["message"])
+
+
+def test_a_new_model_serves_from_the_next_batch_on(spark, tmp_path):
+    from trailcast.operators.models import RiskModel
+    from trailcast.streaming import scoring as SC
+
+    steps = mixed_steps(spark, 20)
+    schema = ", ".join(f"{n} {t}" for n, t in steps.dtypes)
+    folder, models = str(tmp_path), str(tmp_path / "models")
+    for version, (risk, part) in enumerate([(0.1, steps.where("step_index < 10")), (0.9, steps.where("step_index >= 10"))], 1):
+        SC.publish(spark, models, version, RiskModel("baseline_majority", constant=risk))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        features = SF.feature_stream(AP.open_steps(spark, f"{folder}/in", schema))
+        out = SC.verdicts_to_end(spark, features, models, folder, AP.AlertPolicy(0.6))
+    seen = {(r["prefix_step"] > 10, r["model_version"], r["calibrated"]) for r in out.collect()}
+    assert seen == {(False, 1, 0.1), (True, 2, 0.9)}
+    assert out.where("would_alarm = 1 and prefix_step <= 10").count() == 0 and out.where("would_alarm = 1").count() > 0

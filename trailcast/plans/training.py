@@ -217,12 +217,17 @@ def regime_comparison(spark, sf):
         "false_alarm_rate_all_runs": F.col("success_false_alarmed") / F.col("all_success")})
 
 
+def fitted_monitor(spark, sf):
+    """Prefixes with folds, a model of the training part and its calibrator from the validation part."""
+    rows = cut_lineage(SP.split(cut_lineage(with_recent(spark, sf).drop("risk"))))
+    model = MD.fit("gradient_boosting", rows.where("fold = 'train'"))
+    return rows, model, fit_calibrator(cut_lineage(model.score(rows.where("fold = 'val'"))))
+
+
 @query("monitor_verdicts")
 def monitor_verdicts(spark, sf):
     """Score, calibrate, abstain, decide: one verdict per test prefix, alarms under cooldown and budget."""
-    rows = cut_lineage(SP.split(cut_lineage(with_recent(spark, sf).drop("risk"))))
-    model = MD.fit("gradient_boosting", rows.where("fold = 'train'"))
-    calibrator = fit_calibrator(cut_lineage(model.score(rows.where("fold = 'val'"))))
+    rows, model, calibrator = fitted_monitor(spark, sf)
     scored = cut_lineage(calibrator.apply(model.score(rows.where("fold = 'test'"), "risk")))
     return IV.verdicts(scored, threshold=0.6, min_step=5, conf_floor=0.05)
 

@@ -30,7 +30,8 @@ class AlertPolicy(StatefulProcessor):
 
     Steps are judged in the order they come; within a batch they are sorted. Judged step numbers are
     kept as ranges: a step inside one is a repeat and is dropped, a late step in a gap gets its verdict
-    from the alarms so far. The cooldown holds to both sides of every alarm.
+    from the alarms so far. The cooldown holds to both sides of every alarm. A step with ``act`` 0 has no
+    intervention to call for: it may be found worth an alarm, but raises none and uses nothing up.
     """
 
     def __init__(self, threshold: float, min_step: int = 5, conf_floor: float = 0.0, cooldown: int = 5,
@@ -52,10 +53,10 @@ class AlertPolicy(StatefulProcessor):
             committed = step >= self.min_step and abs(r.risk - 0.5) >= self.conf_floor
             rested = all(abs(step - a) >= self.cooldown for a in alarms)
             would = committed and r.risk >= self.threshold and rested and len(alarms) < self.budget
-            if would:
+            if would and r.act:
                 alarms.append(step)
             out.append(Row(trajectory_id=key[0], prefix_step=step, risk=r.risk, abstain=int(not committed),
-                           would_alarm=int(would), alarm=int(would and not self.shadow), n_alarms=len(alarms)))
+                           would_alarm=int(would), alarm=int(bool(would and r.act and not self.shadow)), n_alarms=len(alarms)))
         self.state.update((seen, alarms))
         return iter(out)
 
@@ -64,18 +65,14 @@ class AlertPolicy(StatefulProcessor):
 
 
 def verdict_stream(scored: DataFrame, policy: AlertPolicy) -> DataFrame:
-    """Verdict of every scored step (trajectory_id, prefix_step, risk)."""
-    return scored.select("trajectory_id", "prefix_step", F.col("risk").cast("double").alias("risk")).groupBy(
+    """Verdict of every scored step (trajectory_id, prefix_step, risk and, if there, act)."""
+    act = F.col("act").cast("bigint") if "act" in scored.columns else F.lit(1).cast("bigint")
+    return scored.select("trajectory_id", "prefix_step", F.col("risk").cast("double").alias("risk"), act.alias("act")).groupBy(
         "trajectory_id").transformWithState(
         statefulProcessor=policy, outputStructType=OUTPUT, outputMode="Append",
         timeMode="None" if policy.ttl_ms is None else "ProcessingTime")
 
 
-def without_repeats(steps: DataFrame, delay: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Drop repeated steps that arrive within the watermark delay."""
-    return steps.withWatermark(time, delay).dropDuplicatesWithinWatermark(["trajectory_id", "step_index"])
-
-
 def open_steps(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
