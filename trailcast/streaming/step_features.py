@@ -244,7 +244,9 @@ def feature_stream(steps: DataFrame, ttl_ms: int | None = None, dynamics: bool =
     Without it every step waits for all before it.
     """
     timed = wait_seconds is not None
-    source = with_defaults(steps.withWatermark(time, delay) if timed else steps)
+    if timed:
+        steps = steps.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    source = with_defaults(steps)
     signals = step_signals(source, errors=dynamics, keep=[time] if timed else [])
     processor = StepFeatures(ttl_ms, dynamics, similarity, 1000 * wait_seconds if timed else None)
     if timed:
