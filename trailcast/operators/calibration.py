@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trailcast.operators.isotonic import blocks
 from trailcast.operators.metrics import histogram
 
 
@@ -73,8 +74,10 @@ def fit_calibrator(df: DataFrame, method: str = "isotonic", score: str = "risk",
                                    regParam=1.0 / n, standardization=False).fit(rows)
         return Calibrator(method, model)
     if method == "isotonic":
-        rows = h.select(F.col("score").cast("double").alias("_s"), (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("y"),
-                        (F.col("pos") + F.col("neg")).cast("double").alias("w"))
+        # Both ends of each block: a table as small as the fitted steps.
+        value = F.col("pos") / F.col("n")
+        rows = blocks(h).select(F.explode(F.array(*[F.struct(F.col(e).alias("_s"), value.alias("y"), F.col("n").cast(
+            "double").alias("w")) for e in ("lo", "hi")])).alias("x")).select("x.*").distinct()
         model = IsotonicRegression(featuresCol="_s", labelCol="y", weightCol="w", predictionCol="_p").fit(rows)
         return Calibrator(method, model)
     raise ValueError(f"unknown calibration method {method!r}")

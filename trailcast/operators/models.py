@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,6 +21,7 @@ from trailcast.operators.ordering import attach
 from trailcast.operators.prefixes import TEXT_COLUMN, feature_columns
 from trailcast.operators.resampling import paired_auc_delta
 from trailcast.operators.splits import group_kfold
+from trailcast.operators.text_weights import SublinearTfIdf
 from trailcast.session import reuse
 
 # Training settings of the model roster.
@@ -127,7 +128,7 @@ def text_pipeline(columns: list[str], n_rows: int, iterations: int = LOGISTIC_IT
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="term_counts", minDF=2.0, vocabSize=vocabulary),
-        IDF(inputCol="term_counts", outputCol="term_weights"),
+        SublinearTfIdf(inputCol="term_counts", outputCol="term_weights"),
         VectorAssembler(inputCols=["numbers", "term_weights"], outputCol="features"),
         _logistic(n_rows, iterations)])
 
