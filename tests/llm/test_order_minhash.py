@@ -52,6 +52,8 @@ def test_pairs_over_one_shared_passage_meet(spark, monkeypatch):
     assert found(spark, texts) == want
     monkeypatch.setattr(order_minhash, "TILE", 3)  # several tiles a bucket
     assert found(spark, texts) == want
+    monkeypatch.setattr(order_minhash, "LARGE", 2)  # by rare word pairs
+    assert found(spark, texts) == want
 
 
 def test_scattered_edits_near_the_threshold(spark):
@@ -66,3 +68,19 @@ def test_scattered_edits_near_the_threshold(spark):
     want = brute_force(texts)
     assert len(set(want)) == 120
     assert found(spark, texts) == want
+
+
+def test_large_groups_make_few_pairs(spark, monkeypatch):
+    """Near copies of one text, in pieces at first, and strangers over one passage: what is written stays linear."""
+    rng = random.Random(10)
+    passage = [f"p{k}" for k in range(60)]
+    own = lambda n: [f"o{rng.randint(0, 10**6)}" for _ in range(n)]
+    base = own(50)
+    texts = [passage + own(70) for _ in range(700)]
+    texts += [passage + [w if rng.random() > 0.06 else f"e{rng.randint(0, 10**6)}" for w in base] for _ in range(700)]
+    sizes = []
+    meetings = order_minhash._meetings
+    monkeypatch.setattr(order_minhash, "_meetings", lambda *a, **k: sizes.append((t := meetings(*a, **k)).count()) or t)
+    got = found(spark, texts)
+    assert got == [*range(700), *[700] * 700]
+    assert sum(sizes) < 3 * len(texts)

@@ -22,22 +22,27 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 _written: list[str] = []
 
 
-def write_table(df: DataFrame) -> DataFrame:
+def write_table(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write a table to the shared folder (``spark.checkpoint.dir``) and read it back.
 
     Cuts the lineage like ``checkpoint()``: the files outlive lost executors. They go with
-    ``drop_tables``; the shuffle files of the job that writes go when it ends.
+    ``drop_tables``; the shuffle files of the job that writes go when it ends. ``batch`` is the
+    number of rows that Arrow functions of the job get at once, for wide rows.
     """
     spark = df.sparkSession
     path = new_path(spark)
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch is not None:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
+    before = {setting: spark.conf.get(setting) for setting in wanted}
+    for setting, value in wanted.items():
+        spark.conf.set(setting, value)
     try:
         # Small row groups: wide binary rows are read a row group at a time.
         df.write.option("compression", "zstd").option("parquet.block.size", 1 << 24).parquet(path)
     finally:
-        spark.conf.set(setting, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,6 +58,19 @@ def drop_tables(spark: SparkSession) -> None:
         drop_path(spark, _written.pop())
 
 
+def mark() -> int:
+    """The tables written so far; see ``drop_since``."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, start: int, but: int = 0) -> None:
+    """Delete the tables written after a mark, except the last ``but`` ones, as soon as their last reader is done."""
+    end = len(_written) - but
+    for path in _written[start:end]:
+        drop_path(spark, path)
+    del _written[start:end]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,6 +5,11 @@ chance at the least similarity asks for: the two smallest occurrence-labelled k-
 sketch meet the smallest row of that bucket, and then all rows of it that are not yet in their
 class; candidate pairs are aligned in numpy, many at a time, in a band that widens up
 to the largest distance that still counts. Linked texts form classes.
+
+Strangers over one passage fill a bucket without a link. Rows of large buckets therefore do not meet
+there but by their rarest pairs of words: similar texts share so many pairs that the first ones in any
+common order must meet (a prefix filter, exact), and with rare ones first a shared passage comes last.
+Bags of words rule out most other pairs before one is written.
 """
 
 from __future__ import annotations
@@ -38,8 +43,10 @@ def sketch_count(size: int) -> int:
 BAND = 8
 #: Words of the pairs that are aligned at once.
 ALIGN_WORDS = 1 << 18
-#: Rows of a bucket that meet in one tile, about; hash buckets of the bags that rule pairs out.
-TILE, BAG = 256, 128
+#: Rows of a bucket that meet in one tile, about; rows of a bucket beyond which they meet by rare word pairs.
+TILE, LARGE = 256, 256
+#: Hash buckets of the bags that rule pairs out; rows that an Arrow function gets at once if they hold texts or tiles.
+BAG, TEXTS, TILES = 128, 256, 64
 
 _SEEDS = common.mix(np.arange(1, sketch_count(KMER) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -239,57 +246,140 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles (left, right: lists of row, n, component; right null for a block with itself) to pairs of unlike components."""
+def _across(best: bool):
+    """Tiles (left, right: lists of row, n, component, bag; right null for a block with itself) to pairs of
+    unlike components that neither lengths nor bags rule out: all, or the likeliest for each two components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                alone = not batch.column(1)[k].is_valid
+                one = _block(batch.column(0), k)
+                two = one if alone else _block(batch.column(1), k)
+                n, m = one[1][:, None], two[1][None, :]
+                limit = allowed(n, m)
+                good = (one[2][:, None] != two[2][None, :]) & (np.abs(n - m) <= limit)
+                if alone:
+                    good = np.triu(good, 1)
+                i, j = np.nonzero(good)
+                least = np.empty(len(i), np.int64)
+                for start in range(0, len(i), 1 << 14):
+                    x, y = i[start:start + (1 << 14)], j[start:start + (1 << 14)]
+                    both = np.minimum(one[3][x], two[3][y]).sum(axis=1, dtype=np.int64)
+                    least[start:start + (1 << 14)] = np.maximum(one[1][x], two[1][y]) - both
+                unknown = ~(one[4][i] & two[4][j])
+                ok = unknown | (least <= limit[i, j])
+                i, j, least = i[ok], j[ok], least[ok]
+                if best and len(i):
+                    c, d = one[2][i], two[2][j]
+                    order = np.lexsort((least, np.maximum(c, d), np.minimum(c, d)))
+                    c, d = np.minimum(c, d)[order], np.maximum(c, d)[order]
+                    first = np.append(True, (c[1:] != c[:-1]) | (d[1:] != d[:-1]))
+                    i, j = i[order[first]], j[order[first]]
+                if len(i):
+                    a, b = one[0][i], two[0][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
+def _block(column: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """Rows, word counts, components, bags, and whether the bags are known."""
+    own = column[k].values
+    row, n, component = (own.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in range(3))
+    bags = own.field(3).to_pylist()
+    known = np.array([x is not None for x in bags], bool)
+    return row, n, component, np.frombuffer(b"".join(x or bytes(2 * BAG) for x in bags), np.uint16).reshape(-1, BAG), known
+
+
+def _pairs_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, gram): the occurrence-labelled pairs of adjacent words."""
     for batch in batches:
-        sides = []
-        for column in (0, 1):
-            lists = batch.column(column)
-            flat = lists.flatten()
-            ends = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
-            sides.append((ends, *(flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))))
-        alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        found = [np.zeros((0, 2), np.int64)]
-        waiting = 0
-        for k in range(batch.num_rows):
-            one, two = sides[0], sides[0 if alone[k] else 1]
-            x, y = slice(one[0][k], one[0][k + 1]), slice(two[0][k], two[0][k + 1])
-            n, m = one[2][x].astype(np.int64)[:, None], two[2][y].astype(np.int64)[None, :]
-            good = (one[3][x][:, None] != two[3][y][None, :]) & (np.abs(n - m) <= allowed(n, m))
-            if alone[k]:
-                good = np.triu(good, 1)
-            i, j = np.nonzero(good)
-            a, b = one[1][x][i], two[1][y][j]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            waiting += len(i)
-            if waiting > 1 << 20:
-                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
-        pairs = np.unique(np.concatenate(found), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        ids = batch.column(0).to_numpy()
+        data, offsets = common.buffers(batch.column(1))
+        for start, end in common.pieces(offsets):
+            part = data[offsets[start]:offsets[end]]
+            starts, ends, bounds = common.word_bounds(part, offsets[start:end + 1] - offsets[start])
+            hashes = common.word_hashes(part, starts, ends)
+            grams = [labelled_kmers(hashes[x:y], 2) if y - x > 1 else np.zeros(0, np.uint64) for x, y in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids[start:end], [len(g) for g in grams])), pa.array(np.concatenate(grams).view(np.int64))],
+                ["row", "gram"])
+
+
+#: Pairs of adjacent words that a text of n words has in common with every similar text, at least: a text of N
+#: words within the distance d keeps N - 1 - 2 d of the pairs, and N - 1 - 2 d grows from N to N + 5.
+SHARED_PAIRS = f"array_min(transform(sequence(n, n + 5), N -> N - 1 - 2 * floor(N * {1 - SIMILARITY:.6f} + 1e-9)))"
+
+
+def _rare_keys(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, key): the rarest word pairs of each of ``rows``, as many as similar texts need to meet in one."""
+    grams = common.write_table(texts.join(rows.select("row"), "row", "left_semi").mapInArrow(_pairs_of_words, "row long, gram long"), TEXTS)
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # Pairs that occur once rank first but meet nobody, so only their number matters.
+    rare = Window.partitionBy("row").orderBy("c", "gram")
+    sizes = grams.groupBy("row").agg(F.count(F.lit(1)).alias("grams"))
+    needs = sizes.withColumn("n", F.col("grams") + 1).withColumn("need", F.expr(SHARED_PAIRS))
+    known = grams.join(counts, "gram")
+    ranked = known.withColumn("rank", F.row_number().over(rare)).withColumn("repeated", F.count(F.lit(1)).over(Window.partitionBy("row")))
+    return ranked.join(needs, "row").where(
+        F.col("rank") + F.col("grams") - F.col("repeated") <= F.col("grams") - F.col("need") + 1).select("row", F.col("gram").alias("key"))
 
 
 def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links of candidate pairs. Bags rule out most strangers first; texts move only once they take part in a pair."""
+    start = common.mark()
     named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    bags = common.write_table(rows.join(named, "row", "left_semi").mapInArrow(_bag, "row long, bag binary"))
+    bags = common.write_table(rows.join(named, "row", "left_semi").mapInArrow(_bag, "row long, bag binary"), TEXTS)
     pairs = common.write_table(pairs.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b").select(
         "a", "b", "bag_a", "bag_b").mapInArrow(_plausible, "a long, b long"))
+    found = _aligned(rows, pairs)
+    common.drop_since(rows.sparkSession, start, 1)
+    return found
+
+
+def _aligned(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    start = common.mark()
     named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     texts = common.write_table(rows.join(named, "row", "left_semi"))
     left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    return common.write_table(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        _verify, "a long, b long, distance long"))
+    found = common.write_table(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
+        _verify, "a long, b long, distance long"), TEXTS)
+    common.drop_since(rows.sparkSession, start, 1)
+    return found
+
+
+def _meetings(entries: DataFrame, component: DataFrame, best: bool) -> DataFrame:
+    """Pairs of rows of unlike components that share a key of ``entries`` (key, row, n, bag), by tiles."""
+    member = entries.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                      F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    blocks = member.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / TILE)).withColumn(
+        "block", F.pmod(F.xxhash64("row"), F.col("blocks"))).groupBy("key", "blocks", "block").agg(
+        F.collect_list(F.struct("row", "n", "component", "bag")).alias("part"))
+    alone = blocks.where("blocks = 1").select(F.col("part").alias("left"), F.lit(None).cast(blocks.schema["part"].dataType).alias("right"))
+    # Each block meets itself and every later block of its key.
+    cut = blocks.where("blocks > 1").select("key", "block", "part", F.explode(F.expr(
+        "transform(sequence(0L, blocks - 1), x -> named_struct('low', least(x, block), 'high', greatest(x, block)))")).alias("at"))
+    tiles = cut.groupBy("key", "at").agg(
+        F.first(F.when(F.col("block") == F.col("at.low"), F.col("part")), ignorenulls=True).alias("left"),
+        F.first(F.when((F.col("block") == F.col("at.high")) & (F.col("at.low") < F.col("at.high")), F.col("part")), ignorenulls=True).alias("right"))
+    tiles = tiles.where("left is not null and (right is not null or at.low = at.high)").select("left", "right")
+    return common.write_table(alone.unionByName(tiles).mapInArrow(_across(best), "a long, b long").distinct(), TILES)
 
 
 def links(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """Verified links (a < b, distance) between those rows of (row, text) that ``heads`` (row) names, enough for their classes.
 
     Every row is compared with the smallest row of each of its buckets. What these links leave
-    apart in a bucket is then compared row by row: pairs of one bucket are left out only if they are
-    in one class already, or if lengths or bags of words rule a link out. Large buckets are cut into
-    tiles; pairs inside a tile are made in numpy.
+    apart in a bucket is then compared row by row: pairs are left out only if they are in one class
+    already, or if lengths or bags of words rule a link out. First the likeliest pair of each two
+    classes of a tile is aligned, then what still lies in two classes. Buckets of more than LARGE rows
+    are replaced by the rarest word pairs of their rows, which any two similar texts share.
     """
+    spark = rows.sparkSession
+    start = common.mark()
     keyed = rows.mapInArrow(_sketch, "row long, n int, keys array<long>")
     keyed = common.write_table(keyed.join(heads, "row", "left_semi"))
     keys = keyed.select("row", "n", F.explode(F.expr("transform(keys, (k, i) -> xxhash64(i, k))")).alias("key"))
@@ -298,27 +388,30 @@ def links(rows: DataFrame, heads: DataFrame) -> DataFrame:
     shared = common.write_table(keys.join(first, "key"))
     near = (F.col("row") != F.col("head")) & (
         F.abs(F.col("n") - F.col("head_n")) <= F.floor(F.greatest("n", "head_n") * F.lit(1 - SIMILARITY) + 1e-9))
-    pairs = common.write_table(shared.where(near).select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
-    linked = _verified(rows, pairs)
-    member = shared.join(components(linked).withColumnRenamed("node", "row"), "row", "left").select(
-        "key", "row", "n", "size", F.coalesce("component", "row").alias("component"))
-    member = common.write_table(member)
-    mixed = common.write_table(member.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    blocks = member.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / TILE)).withColumn(
-        "block", F.pmod(F.xxhash64("row"), F.col("blocks"))).groupBy("key", "blocks", "block").agg(
-        F.collect_list(F.struct("row", "n", "component")).alias("part"))
-    blocks = common.write_table(blocks)
-    # Each block meets itself and every later block of its bucket.
-    tiles = blocks.select("key", "block", "part", F.explode(F.expr(
-        "transform(sequence(0L, blocks - 1), x -> named_struct('low', least(x, block), 'high', greatest(x, block)))")).alias("at"))
-    tiles = tiles.groupBy("key", "at").agg(
-        F.first(F.when(F.col("block") == F.col("at.low"), F.col("part")), ignorenulls=True).alias("left"),
-        F.first(F.when((F.col("block") == F.col("at.high")) & (F.col("at.low") < F.col("at.high")), F.col("part")), ignorenulls=True).alias("right"))
-    rest = tiles.where("left is not null and (right is not null or at.low = at.high)").select("left", "right").mapInArrow(
-        _across, "a long, b long").distinct()
-    rest = common.write_table(rest.join(pairs, ["a", "b"], "left_anti"))
-    return linked.unionByName(_verified(rows, rest))
+    linked = _verified(rows, shared.where(near).select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
+    component = common.write_table(components(linked))
+
+    # What is left: buckets with rows of several components.
+    member = shared.select("key", "row", "n", "size").join(component.withColumnRenamed("node", "row"), "row", "left").withColumn(
+        "component", F.coalesce("component", "row"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    left = common.write_table(member.join(mixed, "key").select("key", "row", "n", "size"))
+    names = common.write_table(left.groupBy("row").agg(F.first("n").alias("n"), F.max("size").alias("most")))
+    bags = common.write_table(rows.join(names, "row", "left_semi").mapInArrow(_bag, "row long, bag binary"), TEXTS)
+    rare = _rare_keys(rows, names.where(F.col("most") > LARGE)).withColumn("kind", F.lit(1))
+    meeting = left.where(F.col("size") <= LARGE).select("row", "key").withColumn("kind", F.lit(0)).unionByName(rare).select(
+        "row", F.xxhash64("kind", "key").alias("key"))
+    entries = common.write_table(meeting.join(names.select("row", "n"), "row"))
+
+    def with_bags() -> DataFrame:
+        return entries.join(bags, "row")
+
+    likeliest = _aligned(rows, _meetings(with_bags(), component, best=True))
+    linked = common.write_table(linked.unionByName(likeliest))
+    rest = _aligned(rows, _meetings(with_bags(), components(linked), best=False))
+    found = common.write_table(linked.unionByName(rest))
+    common.drop_since(spark, start, 1)
+    return found
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
