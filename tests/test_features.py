@@ -123,3 +123,15 @@ def test_stream_handles_order_repeats_and_restart(spark, tmp_path):
     names = [n for n in FT.BASE_FEATURES if n != "prefix_step"]
     assert collect(out.select("trajectory_id", "prefix_step", *names)) == collect(
         batch.select("trajectory_id", "prefix_step", *[f"f__{n}" for n in names]))
+
+
+def test_one_compressor_serves_all_cuts():
+    import random
+    import zlib
+
+    rng = random.Random(2)
+    for n in (0, 1, 300, 5_000, 90_000):
+        raw = bytes(rng.choice(b"ab\ncat sed pytest") for _ in range(n))
+        cuts = sorted({0, n, *(rng.randint(0, n) for _ in range(40))})
+        want = [len(zlib.compress(raw[:c], 6)) / c if c else 1.0 for c in cuts]
+        assert FT.leading_ratios(raw, cuts) == want

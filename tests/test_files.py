@@ -50,10 +50,10 @@ def test_written_tables_read_back(spark, tmp_path, suffix):
     rows = [(1, 'a "quoted", text\nwith a break', 0.5), (2, None, None), (3, "ü", -1.25)]
     path = str(tmp_path / f"t.{suffix}")
     FS.write_table(spark.createDataFrame(rows, schema), path)
-    back = FS.read_table(spark, path, schema)
+    back = FS.read_table(spark, path, schema, multiline=True)
     assert sorted(map(tuple, back.collect())) == rows
     FS.append_rows(spark.createDataFrame([(4, "b", 0.0)], schema), path)
-    assert FS.read_table(spark, path, schema).count() == 4
+    assert FS.read_table(spark, path, schema, multiline=True).count() == 4
 
 
 def test_partitions_and_first_rows(spark, tmp_path):
@@ -84,3 +84,20 @@ def test_one_to_one(spark):
     for wrong in (b.limit(1), b.union(b.limit(1))):
         with pytest.raises(Exception, match="not one to one"):
             FS.one_to_one(a, wrong, ["prefix_id"]).collect()
+
+
+def test_csv_is_split_unless_fields_hold_line_breaks(spark, tmp_path):
+    plain = str(tmp_path / "plain.csv")
+    spark.range(40_000).select("id", F.lit("some text, quoted").alias("t")).coalesce(1).write.option("header", "true").csv(plain)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        split, whole = FS.read_csv(spark, plain, "id bigint, t string"), FS.read_csv(spark, plain, "id bigint, t string", multiline=True)
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert split.agg(F.sum("id")).first() == whole.agg(F.sum("id")).first() and split.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    broken = str(tmp_path / "broken.csv")
+    FS.write_table(spark.createDataFrame([(1, 'a "b"\n c'), (2, "d")], "id bigint, t string"), broken)
+    got = FS.read_table(spark, broken, "id bigint, t string", multiline=True).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 'a "b"\n c'), (2, "d")]

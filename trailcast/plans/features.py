@@ -340,6 +340,20 @@ def prefix_text(spark, sf):
     return by_run_length(steps, lambda part, scan: FT.recent_text(part, wanted, scan))
 
 
+@query("prefix_features_full_exact", "WITH " + _DYNAMICS_SQL + f""",
+texts AS (
+  SELECT trajectory_id, n AS prefix_step, right(string_agg({_PART}, concat(' ', chr(10), ' ') ORDER BY step_no), 4000) AS f__text_blob
+  FROM pre GROUP BY ALL)
+SELECT {", ".join("dynamics." + c for c in PX.META)}, {base_output_sql(FT.BASE_FEATURES)},
+  {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS f__{c}" for c in _DYNAMICS_DOUBLES if c != "adv_seq_consec_cmd_sim")},
+  {", ".join(f"CAST({c} AS BIGINT) AS f__{c}" for c in _DYNAMICS_LONGS)}, coalesce(f__text_blob, '') AS f__text_blob
+FROM dynamics LEFT JOIN texts USING (trajectory_id, prefix_step)""")
+def prefix_features_full_exact(spark, sf):
+    """All of prefix_features_full but matching-blocks similarity and compression, which SQL cannot say."""
+    return rounded(prefix_features_full(spark, sf).drop(
+        "f__adv_seq_consec_cmd_sim", "f__adv_seq_compress", "f__adv_seq_compress_last10"))
+
+
 @query("feature_table_rebuild_check", "WITH " + _PREFIX_ROWS + """
 SELECT CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, count(*) AS in_both FROM meta""")
 def feature_table_rebuild_check(spark, sf):
@@ -366,32 +380,44 @@ def prefix_dataset_summary(spark, sf):
 _ENTITY = "CAST(regexp_matches(action_text, {}) AS DOUBLE)"
 
 
-@query("step_sequence_inputs", "WITH " + CLASSIFIED + f""",
+_STEP_INPUTS = "WITH " + CLASSIFIED + f""",
 first_read AS (
   SELECT DISTINCT trajectory_id, arg_min(step_no, step_no) AS step_no
   FROM (SELECT trajectory_id, step_no, unnest(files) AS file FROM classified WHERE kind = 'read' AND step_index < 160)
-  GROUP BY trajectory_id, file)
-SELECT trajectory_id, step_index,
+  GROUP BY trajectory_id, file),
+inputs AS (SELECT trajectory_id, step_index,
   {", ".join(f"CAST(CASE WHEN kind = 'unknown' THEN 'other' ELSE kind END = '{t}' AS DOUBLE) AS is_{t}" for t in P.ACTION_TYPES)},
   CAST(traceback AS DOUBLE) AS traceback, CAST(exception AS DOUBLE) AS exception,
-  round(ln(1 + length(observation_text)), 6) AS log_obs_len, coalesce(CAST(failed AS DOUBLE), 0) AS fail_count,
-  CAST(failed IS NOT NULL AS DOUBLE) AS has_fail_count, round(ln(1 + len(files)), 6) AS log_files,
+  ln(1 + length(observation_text)) AS log_obs_len, coalesce(CAST(failed AS DOUBLE), 0) AS fail_count,
+  CAST(failed IS NOT NULL AS DOUBLE) AS has_fail_count, ln(1 + len(files)) AS log_files,
   CAST((trajectory_id, step_no) IN (SELECT (trajectory_id, step_no) FROM first_read) AS DOUBLE) AS new_file,
-  round(ln(1 + length(thought_text)), 6) AS log_thought_len, round(ln(1 + length(action_text)), 6) AS log_action_len,
+  ln(1 + length(thought_text)) AS log_thought_len, ln(1 + length(action_text)) AS log_action_len,
   CAST(0 AS DOUBLE) AS bad_returncode
-FROM classified WHERE step_index < 160""")
+FROM classified WHERE step_index < 160)"""
+
+
+@query("step_sequence_inputs", _STEP_INPUTS + f"""
+SELECT trajectory_id, step_index, {", ".join(f"round({c}, 6) AS {c}" for c in FT.SEQUENCE_INPUTS)} FROM inputs""")
 def step_sequence_inputs(spark, sf):
     return rounded(by_run_length(S.steps(spark, sf), lambda part, scan: FT.sequence_inputs(part, scan)))
 
 
-@query("step_inputs_standardized")
+_SCALED = ", ".join(f"round((i.{c} - s.m_{c}) / CASE WHEN s.d_{c} < 1e-6 THEN 1 ELSE s.d_{c} END, 6) AS {c}" for c in FT.SEQUENCE_INPUTS)
+
+
+@query("step_inputs_standardized", _STEP_INPUTS + f""",
+train AS (SELECT DISTINCT trajectory_id FROM steps WHERE CAST(('0x' || substr(md5(instance_id), 1, 8)) AS BIGINT) % 5 > 0),
+s AS (
+  SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in FT.SEQUENCE_INPUTS)}
+  FROM inputs SEMI JOIN train USING (trajectory_id))
+SELECT trajectory_id, step_index, {_SCALED} FROM inputs i, s""")
 def step_inputs_standardized(spark, sf):
     """Inputs scaled with the statistics of the training instances (four of five, by hash)."""
     steps = S.steps(spark, sf)
     rows = by_run_length(steps, lambda part, scan: FT.sequence_inputs(part, scan))
     fold = S.runs(steps).select("trajectory_id", (T.hash_number(F.col("instance_id")) % 5).alias("fold"))
     train = rows.join(fold.where("fold > 0"), "trajectory_id", "left_semi")
-    return FT.standardize(rows, train, FT.SEQUENCE_INPUTS)
+    return rounded(FT.standardize(rows, train, FT.SEQUENCE_INPUTS))
 
 
 @query("patch_churn_features", "WITH " + S.SQL["steps"] + """,

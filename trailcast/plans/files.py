@@ -63,7 +63,7 @@ def csv_round_trip(spark, sf):
     """Whole texts with quotes, line breaks and outer blanks through CSV."""
     path = new_path(spark, "csv")
     FS.write_table(S.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
-    return FS.read_table(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return FS.read_table(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint", multiline=True)
 
 
 @query("resumed_scores", RISK + " SELECT prefix_id, risk FROM risk")

@@ -46,13 +46,13 @@ def direction_projections(spark, sf):
     return rounded(V.project(c, V.directions(c, unit=True)).select("vec_id", "cond", "projection"))
 
 
-def _held_sql(by: str) -> str:
+def _held_sql(by: str, k: int = 4) -> str:
     """Held-out projections by brute force: train each fold's direction on the other folds."""
     keys = f"{by}, " if by else ""
     on = f"AND t.{by} = h.{by}" if by else ""
     return _ACT + f""",
 sizes AS (SELECT grp, count(*) AS n FROM con GROUP BY 1),
-{kfold_sql("fold", "sizes", "grp", 4)},
+{kfold_sql("fold", "sizes", "grp", k)},
 lf AS (SELECT long.*, fold FROM long JOIN fold USING (grp)),
 dirs AS (
   SELECT {keys.replace(by, 'h.' + by) if by else ''}h.fold, t.dim, avg(t.v) FILTER (t.y = 1) - avg(t.v) FILTER (t.y = 0) AS d
@@ -83,9 +83,22 @@ def probe_by_layer(spark, sf):
     return rounded(V.probe_auc(c, ["layer"], k=4).join(V.length_confound(c, ["layer"], k=4), "layer"))
 
 
-@query("layer_sweep")
+@query("layer_sweep", _held_sql("layer", 5) + f""",
+a AS (SELECT CAST(split_part(g, '/', 1) AS BIGINT) AS layer, avg(auc) AS auc FROM {_fold_auc('layer')} GROUP BY 1),
+c AS (SELECT layer, abs(corr(p, len)) AS len_corr FROM held GROUP BY 1),
+l AS ({pair_auc('con', 'layer', score='len', label='y')}),
+per AS (
+  SELECT layer, a.auc, len_corr, greatest(l.auc, 1 - l.auc) AS alone, (round(a.auc, 9), -layer) AS place
+  FROM a JOIN c USING (layer) JOIN l USING (layer)),
+best AS (
+  SELECT max(alone) AS alone, arg_max(layer, place) AS p, arg_max(auc, place) AS p_auc, arg_max(len_corr, place) AS p_corr,
+    coalesce(arg_max(layer, place) FILTER (len_corr < 0.5), p) AS c, coalesce(arg_max(auc, place) FILTER (len_corr < 0.5), p_auc) AS c_auc
+  FROM per)
+SELECT CAST(4 AS BIGINT) AS n_layers, round(alone, 6) AS length_only_auc, round(p_auc, 6) AS peak_auc, p AS peak_layer,
+  round(p / 3.0, 6) AS peak_depth, round(p_corr, 6) AS len_corr_at_peak, round(c_auc, 6) AS clean_auc, c AS clean_layer,
+  round(c / 3.0, 6) AS clean_depth FROM best""")
 def layer_sweep(spark, sf):
-    return V.layer_sweep(contrast(spark, sf), 4)
+    return rounded(V.layer_sweep(contrast(spark, sf), 4))
 
 
 @query("axis_disentanglement", "WITH " + S.SQL["activations"] + """,

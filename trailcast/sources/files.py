@@ -39,19 +39,23 @@ def read_json_lines(spark: SparkSession, path: str, schema: str = RAW_SCHEMA, ba
         "columnNameOfCorruptRecord", bad).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header line; quoted fields may hold line breaks. Without a schema all columns are text."""
-    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False) -> DataFrame:
+    """CSV with a header line; without a schema all columns are text.
+
+    A large file is read in parts by many tasks. If quoted fields hold line breaks, say ``multiline``:
+    a file is then read by one task, and only several files are read side by side.
+    """
+    reader = spark.read.option("header", "true").option("escape", '"').option("multiLine", multiline)
     return (reader if schema is None else reader.schema(schema)).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = False) -> DataFrame:
     """A table in the format its suffix names. JSON lines need a schema; Parquet has its own."""
     kind = file_format(path)
     if kind == "json":
         return read_json_lines(spark, path, RAW_SCHEMA if schema is None else schema)
     if kind == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multiline)
     return spark.read.parquet(path)
 
 
