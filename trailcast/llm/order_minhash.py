@@ -44,9 +44,9 @@ BAND = 8
 #: Words of the pairs that are aligned at once.
 ALIGN_WORDS = 1 << 18
 #: Rows of a bucket that meet in one tile, about; rows of a bucket beyond which they meet by rare word pairs.
-TILE, LARGE = 256, 256
+TILE, LARGE = 256, 64
 #: Hash buckets of the bags that rule pairs out; rows that an Arrow function gets at once if they hold texts or tiles.
-BAG, TEXTS, TILES = 128, 256, 64
+BAG, TEXTS, TILES = 512, 256, 32
 
 _SEEDS = common.mix(np.arange(1, sketch_count(KMER) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -349,13 +349,17 @@ def _aligned(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def _meetings(entries: DataFrame, component: DataFrame, best: bool) -> DataFrame:
-    """Pairs of rows of unlike components that share a key of ``entries`` (key, row, n, bag), by tiles."""
+def _meetings(entries: DataFrame, bags: DataFrame, component: DataFrame, best: bool) -> DataFrame:
+    """Pairs of rows of unlike components that share a key of ``entries`` (key, row, n), by tiles.
+
+    Bags join only those entries whose key has several components.
+    """
     member = entries.join(component.withColumnRenamed("node", "row"), "row", "left").withColumn(
         "component", F.coalesce("component", "row"))
     mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                       F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-    blocks = member.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / TILE)).withColumn(
+    open_ = common.write_table(member.join(mixed, "key"))
+    blocks = open_.join(bags, "row").withColumn("blocks", F.ceil(F.col("size") / TILE)).withColumn(
         "block", F.pmod(F.xxhash64("row"), F.col("blocks"))).groupBy("key", "blocks", "block").agg(
         F.collect_list(F.struct("row", "n", "component", "bag")).alias("part"))
     alone = blocks.where("blocks = 1").select(F.col("part").alias("left"), F.lit(None).cast(blocks.schema["part"].dataType).alias("right"))
@@ -403,12 +407,9 @@ def links(rows: DataFrame, heads: DataFrame) -> DataFrame:
         "row", F.xxhash64("kind", "key").alias("key"))
     entries = common.write_table(meeting.join(names.select("row", "n"), "row"))
 
-    def with_bags() -> DataFrame:
-        return entries.join(bags, "row")
-
-    likeliest = _aligned(rows, _meetings(with_bags(), component, best=True))
+    likeliest = _aligned(rows, _meetings(entries, bags, component, best=True))
     linked = common.write_table(linked.unionByName(likeliest))
-    rest = _aligned(rows, _meetings(with_bags(), components(linked), best=False))
+    rest = _aligned(rows, _meetings(entries, bags, components(linked), best=False))
     found = common.write_table(linked.unionByName(rest))
     common.drop_since(spark, start, 1)
     return found
