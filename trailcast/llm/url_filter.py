@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BUCKETS = 1 << 15
 #: Lengths of the character n-grams.
 GRAMS = (3, 4, 5)
-#: Rules are literals of the plan; a longer list belongs in a joined table.
-MAX_RULES = 1000
+#: Rules that become literals of the plan; a longer list is joined as a table.
+MAX_RULES = 100
 #: Labelled rows used for the fit at most (a hash order chooses them).
 MAX_LABELLED = 200_000
 
@@ -69,8 +69,6 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     A rule fits its host and all subdomains if the path starts with the rule's. Of rules of one
     length the one named first wins.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: join them as a table")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda r: -len(r[1]))[::-1]:
         rule_host, slash, rule_path = rule.partition("/")
@@ -79,6 +77,33 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return found
 
 
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(verdict, rule, place) for ``joined_rules``."""
+    return spark.createDataFrame([(v, r, k) for k, (v, r) in enumerate(rules)], "verdict string, rule string, place long")
+
+
+def joined_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``_rule`` as ``matched_rule`` does, for any number of rules (verdict, rule, place).
+
+    Every suffix of a host meets the rules of that host; the longest that fits the path stays, of equally
+    long ones that with the smallest place.
+    """
+    cut = F.instr("rule", "/")
+    named = rules.select(
+        F.when(cut > 0, F.substring_index("rule", "/", 1)).otherwise(F.col("rule")).alias("_host"),
+        F.when(cut > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("").alias("_path"), "rule", "verdict", "place")
+    parts = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    spread = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", F.explode(suffixes))
+    met = spread.join(named, "_host", "left")
+    fits = F.col("path").startswith(F.col("_path"))
+    best = F.max(F.when(fits, F.struct(F.length("rule").alias("size"), (-F.col("place")).alias("first"), "rule", "verdict")))
+    kept = F.first(F.struct(*rows.columns)).alias("_all")
+    found = met.groupBy("_row").agg(kept, best.alias("_best"))
+    return found.select("_all.*", F.when(F.col("_best").isNotNull(), F.struct(
+        F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("verdict"))).alias("_rule"))
+
+
 def _grams(mark: str, text: Column) -> Column:
     """Character n-grams of a text with its ends marked; ``mark`` tells host from path."""
     text = F.concat(F.lit("^"), text, F.lit("$"))
@@ -112,19 +137,23 @@ def fit(labelled: DataFrame, reg: float = 0.001, max_iter: int = 100) -> Pipelin
     return PipelineModel([tf, model.fit(tf.transform(table))])
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], model: PipelineModel | None, url: str = "url",
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, model: PipelineModel | None, url: str = "url",
           threshold: float = 0.5) -> DataFrame:
     """Add host, path, rule, p_block and verdict to every row.
 
     A rule decides if one fits, else the model (block if p_block >= threshold). Null urls and
     urls without ``://`` have empty host and path, are judged by the model like any other, and so
     are repeated rows. Columns of these names in the input are replaced; others pass through.
-    Without a model (labels of one kind) the verdict is allow unless a rule blocks.
+    Without a model (labels of one kind) the verdict is allow unless a rule blocks. Up to MAX_RULES
+    rules are part of the plan; more of them, or a table (verdict, rule, place), are joined.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block")]
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.struct(*keep).alias("_in"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
+    if isinstance(rules, DataFrame) or len(rules) > MAX_RULES:
+        rows = joined_rules(rows, rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules))
+    else:
+        rows = rows.withColumn("_rule", matched_rule(F.col("host"), F.col("path"), rules))
     if model is None:
         scored = rows.withColumn("p_block", F.lit(0.0))
     else:
